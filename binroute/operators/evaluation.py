@@ -33,9 +33,7 @@ def _per_score(scored: DataFrame) -> DataFrame:
 def _cumulative(scored: DataFrame) -> tuple[DataFrame, Column]:
     """Rows at or above each distinct score, and the two class sizes."""
     points = running_totals(_per_score(scored), [F.desc("score")], {"tp": "pos", "fp": "neg"})
-    sizes = scored.agg(
-        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")
-    )
+    sizes = points.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return points, sizes.select(F.struct("*")).scalar()
 
 

@@ -14,15 +14,14 @@ from binroute.sources.scratch import materialize
 PAIR = ["bin", "processor_name_encoded"]
 
 
+def with_bin_parts(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"bin_prefix": bin_prefix(F.col("bin")), "bin_suffix": bin_suffix(F.col("bin"))})
+
+
 def labelled(encoded: DataFrame) -> DataFrame:
     """Add the label (approved has code 0; filtered is a failure) and BIN parts."""
-    return encoded.withColumns(
-        {
-            "success_flag": F.when(F.col("status_encoded") == 0, 1).otherwise(0),
-            "bin_prefix": bin_prefix(F.col("bin")),
-            "bin_suffix": bin_suffix(F.col("bin")),
-        }
-    )
+    flag = F.when(F.col("status_encoded") == 0, 1).otherwise(0)
+    return with_bin_parts(encoded.withColumn("success_flag", flag))
 
 
 def drop_null_bin(rows: DataFrame) -> DataFrame:
