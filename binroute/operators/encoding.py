@@ -82,24 +82,25 @@ def extend_dictionary(existing: DataFrame, profile: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Encoder:
-    """A grown dictionary and its lookup form, in which a NULL category has the
-    code of its column's mode."""
+    """A grown dictionary in lookup form: the category NULL of each column has
+    the code of the column's mode."""
 
-    dictionary: DataFrame
     lookup: DataFrame
 
+    @property
+    def dictionary(self) -> DataFrame:
+        return self.lookup.where(F.col("category").isNotNull())
+
 
 def fit_encoder(rows: DataFrame, existing: DataFrame, columns: Sequence[str] = CATEGORICAL) -> Encoder:
     profile = materialize(category_profile(rows, columns), "profile")
-    dictionary = materialize(extend_dictionary(existing, profile).coalesce(1), "dictionary")
-    filled = (
-        column_modes(profile)
-        .withColumnRenamed("mode", "category")
-        .join(dictionary, ["column_name", "category"])
-        .select("column_name", F.lit(None).cast("string").alias("category"), "code")
-    )
-    lookup = materialize(dictionary.unionByName(filled).coalesce(1), "lookup")
-    return Encoder(dictionary, lookup)
+    dictionary = extend_dictionary(existing, profile)
+    modes = column_modes(profile).select("column_name", F.col("mode").alias("category"), F.lit(True).alias("_mode"))
+    marked = dictionary.join(modes, ["column_name", "category"], "left")
+    # The row of a mode appears twice: under its category and under NULL.
+    names = F.when(F.col("_mode"), F.array("category", F.lit(None).cast("string"))).otherwise(F.array("category"))
+    lookup = marked.select("column_name", F.explode(names).alias("category"), "code")
+    return Encoder(materialize(lookup, "lookup"))
 
 
 def encode(rows: DataFrame, encoder: Encoder, columns: Sequence[str] = CATEGORICAL) -> DataFrame:

@@ -17,12 +17,14 @@ from binroute.functions import strip
 def top_processors(
     scored: DataFrame, external: Sequence[str], top_n: int = SCORES_PER_BIN, threshold: float = 0.0
 ) -> DataFrame:
-    """Best processors per BIN by score in percent (two digits, half to even).
+    """Best processors per BIN by score in percent.
 
+    The percentage is the whole number of hundredths nearest to it, half to
+    even, over 100: how array libraries round, and not by decimal digits.
     Expects ``bin, processor_name_encoded, processor, score``; equal scores keep
     the order of the processor codes.
     """
-    percent = F.bround(F.col("score") * 100, 2)
+    percent = F.rint(F.col("score") * 100 * 100) / 100
     best = Window.partitionBy("bin").orderBy(F.desc("predicted_success"), "processor_name_encoded")
     return (
         scored.withColumn("predicted_success", percent)

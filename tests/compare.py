@@ -58,6 +58,12 @@ def compare(df, con, sql: str) -> list[str]:
     b = Counter(tuple(_cell(row[at[n]]) for n in names) for row in theirs)
     if len(ours) != len(theirs):
         problems.append(f"rows: spark {len(ours)} duckdb {len(theirs)}")
+    if not len(ours):
+        problems.append("empty result")
+    exact_a = Counter(tuple(row[n] for n in names) for row in ours)
+    exact_b = Counter(tuple(row[at[n]] for n in names) for row in theirs)
+    if a == b and exact_a != exact_b:
+        problems.append(f"last bits: {list((exact_a - exact_b).items())[:2]} {list((exact_b - exact_a).items())[:2]}")
     if a != b:
         problems.append(f"values: only spark {list((a - b).items())[:3]} only duckdb {list((b - a).items())[:3]}")
     return problems
