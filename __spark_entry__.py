@@ -148,7 +148,8 @@ def _encode_column(spark: SparkSession, sf: str) -> DataFrame:
 
 def _encoded(spark: SparkSession, sf: str, columns=CATEGORICAL) -> DataFrame:
     rows = _training(spark, sf)
-    return encoding.encode(rows, encoding.fit_encoder(rows, _seed(spark), columns), columns)
+    encoder = encoding.fit_encoder(encoding.category_profile(rows, columns), _seed(spark))
+    return encoding.encode(rows, encoder, columns)
 
 
 def _decoded(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,11 +167,11 @@ def _prepared(spark: SparkSession, sf: str, require_success: bool = True) -> pla
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return features.pair_counts(features.labelled(_encoded(spark, sf, NEEDED)))
+    return _prepared(spark, sf).pairs
 
 
 def _stats(name: str) -> Query:
-    return lambda spark, sf: getattr(features.fit_stats(_pairs(spark, sf)), name)
+    return lambda spark, sf: getattr(_prepared(spark, sf).stats, name)
 
 
 def _feature_rows(spark: SparkSession, sf: str, require_success: bool = True) -> DataFrame:
@@ -183,16 +184,22 @@ def _candidate_bins(spark: SparkSession, sf: str) -> DataFrame:
     return _all_bins(spark, sf).unionByName(spark.range(1).select(F.lit(999999).cast("long").alias("bin")))
 
 
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    stats = features.fit_stats(_pairs(spark, sf))
-    flag = encoding.code_of(_seed(spark), "is_3d", "t")
-    return _rounded(features.candidate_features(_candidate_bins(spark, sf), stats, flag), *FEATURES[4:])
+def _candidate_query(notebook: bool, named: bool = False) -> Query:
+    """Features of all candidates; ``named`` adds processor name and a score."""
+    build = features.candidate_features_nb if notebook else features.candidate_features
 
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ready = _prepared(spark, sf, require_success=not notebook)
+        flag = encoding.code_of(_seed(spark), "is_3d", "t")
+        rows = _rounded(build(_candidate_bins(spark, sf), ready.stats, flag), *FEATURES[4:])
+        if not named:
+            return rows
+        scored = rows.withColumn("score", F.col("bin_processor_success_rate"))
+        return encoding.decode(
+            scored, ready.encoder.dictionary, "processor_name", "processor_name_encoded", "processor"
+        )
 
-def _candidates_nb(spark: SparkSession, sf: str) -> DataFrame:
-    stats = features.fit_stats(_pairs(spark, sf), require_success=False)
-    flag = encoding.code_of(_seed(spark), "is_3d", "t")
-    return _rounded(features.candidate_features_nb(_candidate_bins(spark, sf), stats, flag), *FEATURES[4:])
+    return run
 
 
 # --- split, evaluation, routing --------------------------------------------------
@@ -221,24 +228,13 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _named_scores(candidates: Query) -> Query:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = _training(spark, sf)
-        processors = encoding.fit_encoder(rows, _seed(spark), NEEDED).dictionary
-        scored = candidates(spark, sf).withColumn("score", F.col("bin_processor_success_rate"))
-        return encoding.decode(scored, processors, "processor_name", "processor_name_encoded", "processor")
-
-    return run
-
-
 def _top(spark: SparkSession, sf: str) -> DataFrame:
-    return routing.top_processors(_named_scores(_candidates)(spark, sf), fx.EXTERNAL)
+    return routing.top_processors(_candidate_query(notebook=False, named=True)(spark, sf), fx.EXTERNAL)
 
 
 def _routed(threshold: float) -> Query:
-    return lambda spark, sf: routing.route_internal_first(
-        _named_scores(_candidates_nb)(spark, sf), fx.EXTERNAL, threshold=threshold
-    )
+    scored = _candidate_query(notebook=True, named=True)
+    return lambda spark, sf: routing.route_internal_first(scored(spark, sf), fx.EXTERNAL, threshold=threshold)
 
 
 def _gbt(class_weighted: bool, trees: int = C.TREES) -> Query:
@@ -326,8 +322,8 @@ def queries() -> dict[str, Query]:
         ]),
         "training_features": _feature_rows,
         "training_features_nb": lambda s, d: _feature_rows(s, d, require_success=False),
-        "candidate_features": _candidates,
-        "candidate_features_nb": _candidates_nb,
+        "candidate_features": _candidate_query(notebook=False),
+        "candidate_features_nb": _candidate_query(notebook=True),
         # split and profile
         "stratified_split": _split,
         "class_ratio": lambda s, d: split.class_ratio(_split(s, d), "success_flag"),

@@ -23,17 +23,23 @@ def dictionary_frame(spark: SparkSession, codes: Mapping[str, Mapping[str, int]]
     return spark.createDataFrame(rows, DICTIONARY)
 
 
-def category_profile(rows: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+def category_profile(
+    rows: DataFrame, columns: Sequence[str] = CATEGORICAL, weight: Column | None = None
+) -> DataFrame:
     """Rows per value of each column, NULL included, in one pass over the data.
 
     Everything that fitting needs (modes, unseen values) comes from this table,
-    whose size is that of the distinct values.
+    whose size is that of the distinct values. ``weight`` is the number of rows
+    that a row of an already counted table stands for.
     """
-    strings = rows.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    strings = rows.select(
+        *[F.col(c).cast("string").alias(c) for c in columns],
+        (F.lit(1) if weight is None else weight).cast("long").alias("_weight"),
+    )
     return (
-        strings.unpivot([], list(columns), "column_name", "category")
+        strings.unpivot("_weight", list(columns), "column_name", "category")
         .groupBy("column_name", "category")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("_weight").alias("n"))
     )
 
 
@@ -92,8 +98,9 @@ class Encoder:
         return self.lookup.where(F.col("category").isNotNull())
 
 
-def fit_encoder(rows: DataFrame, existing: DataFrame, columns: Sequence[str] = CATEGORICAL) -> Encoder:
-    profile = materialize(category_profile(rows, columns), "profile")
+def fit_encoder(profile: DataFrame, existing: DataFrame) -> Encoder:
+    """Encoder for the columns of a category profile."""
+    profile = materialize(profile, "profile")
     dictionary = extend_dictionary(existing, profile)
     modes = column_modes(profile).select("column_name", F.col("mode").alias("category"), F.lit(True).alias("_mode"))
     marked = dictionary.join(modes, ["column_name", "category"], "left")

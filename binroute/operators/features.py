@@ -28,15 +28,17 @@ def drop_null_bin(rows: DataFrame) -> DataFrame:
     return rows.na.drop(subset=["bin"])
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """Rows and successes per BIN and processor: the only pass over the rows.
+def pair_counts(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Rows and successes per BIN and processor.
 
     Written out, as every statistic is a re-aggregation of this small table.
+    ``weight`` is as in a category profile.
     """
+    n = (F.lit(1) if weight is None else weight).cast("long")
     counts = (
         drop_null_bin(rows)
         .groupBy(*PAIR)
-        .agg(F.count("success_flag").alias("tx"), F.sum("success_flag").alias("success"))
+        .agg(F.sum(n).alias("tx"), F.sum(n * F.col("success_flag")).alias("success"))
     )
     return materialize(counts, "pairs")
 

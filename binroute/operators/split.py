@@ -20,14 +20,15 @@ DIGIT_BITS = 16
 DIGIT = (1 << DIGIT_BITS) - 1
 
 
-def class_quotas(rows: DataFrame, label: str, fraction: float = HOLDOUT_FRACTION) -> DataFrame:
-    """Hold-out rows per class; one row per class.
+def class_quotas(counts: DataFrame, label: str, fraction: float = HOLDOUT_FRACTION) -> DataFrame:
+    """Hold-out rows per class from counts ``label, n``; one row per class.
 
     The hold-out has ``ceil(fraction * n)`` rows. Each class keeps the floor of
     its share of the rest for training, and classes with the largest remainders
     (the smaller label on a tie) keep one more until the rest is used up.
     """
-    sizes = rows.groupBy(label).agg(F.count("*").alias("n"))
+    sizes = counts.groupBy(label).agg(F.sum("n").alias("n"))
+    # These windows have no partition on purpose: they see one row per class.
     everything = Window.partitionBy()
     by_remainder = Window.partitionBy().orderBy(F.desc("remainder"), label)
     total = F.sum("n").over(everything)
@@ -70,17 +71,13 @@ def stratified_split(
             "_row": F.col("_metadata.row_index"),
         }
     )
-    # Every broadcast below holds one row per class.
-    quotas = F.broadcast(class_quotas(kept, label, fraction))
-
-    high = kept.groupBy(label, "_high").agg(F.count("*").alias("n")).join(quotas, label)
-    at_high = F.broadcast(_cut(high, label, "_high").withColumnRenamed("need", "quota"))
-    low = (
-        kept.join(at_high, [label, "_high"])
-        .groupBy(label, "_high", "_low", "quota")
-        .agg(F.count("*").alias("n"))
-    )
-    at_low = _cut_low(low, label)
+    # Every broadcast below holds one row per class. The counts per digit are
+    # written: at most 2^16 rows per class, and read more than once.
+    high = materialize(kept.groupBy(label, "_high").agg(F.count("*").alias("n")), "high")
+    quotas = F.broadcast(class_quotas(high, label, fraction))
+    at_high = F.broadcast(_cut(high.join(quotas, label), label, "_high").withColumnRenamed("need", "quota"))
+    low = kept.join(at_high, [label, "_high"]).groupBy(label, "_high", "_low", "quota").agg(F.count("*").alias("n"))
+    at_low = materialize(_cut_low(materialize(low, "low"), label), "cut")
     # Rows with exactly the last key: usually one per class.
     equal = kept.join(F.broadcast(at_low), [label, "_key"]).select(
         label, "_file", "_row", "need", F.lit(1).alias("one")

@@ -15,10 +15,14 @@ from binroute.sources import writers
 from binroute.sources.scratch import materialize
 from binroute.sources.schemas import CATEGORICAL, FEATURES
 
+# The categories behind the features; their codes are needed in any case.
+COUNTED = ("status", "is_3d", "processor_name")
+
 
 @dataclass(frozen=True)
 class Prepared:
     encoder: encoding.Encoder
+    pairs: DataFrame
     stats: features.Stats
     rows: DataFrame
 
@@ -32,13 +36,23 @@ def prepare(
 ) -> Prepared:
     """Encode, filter, compute statistics and attach them to every row.
 
-    ``columns`` may name fewer categories where only some codes are needed;
-    status and processor must be among them.
+    One pass counts rows per BIN and the raw values that features depend on;
+    codes, modes and statistics come from those counts. Other columns, whose
+    codes are only for the result, are profiled in a second pass. ``rows`` is
+    lazy and costs a third one when used.
     """
-    encoder = encoding.fit_encoder(training, existing, columns)
+    others = [c for c in columns if c not in COUNTED]
+    counts = materialize(training.groupBy("bin", *COUNTED).agg(F.count("*").alias("n")), "counts")
+    profile = encoding.category_profile(counts, COUNTED, F.col("n"))
+    if others:
+        profile = profile.unionByName(encoding.category_profile(training, others))
+    encoder = encoding.fit_encoder(profile, existing)
+
+    cells = features.labelled(encoding.encode(counts, encoder, COUNTED))
+    pairs = features.pair_counts(cells, F.col("n"))
+    stats = features.fit_stats(pairs, require_success, min_processor_rows)
     rows = features.labelled(encoding.encode(training, encoder, columns))
-    stats = features.fit_stats(features.pair_counts(rows), require_success, min_processor_rows)
-    return Prepared(encoder, stats, features.training_features(rows, stats))
+    return Prepared(encoder, pairs, stats, features.training_features(rows, stats))
 
 
 def content_key(columns: Sequence[str]) -> Column:
