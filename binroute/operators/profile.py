@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,15 +35,21 @@ def dedup_profile(rows: DataFrame) -> DataFrame:
     )
 
 
+def _pearson(a: Column, b: Column) -> Column:
+    """NULL for a constant column, where ``corr`` fails in ANSI mode."""
+    a, b = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def correlation(rows: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Pearson correlation of each column with the target, highest first.
 
     A constant column has none; it comes last as NULL.
     """
-    found = rows.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in columns])
+    found = rows.agg(*[_pearson(F.col(c), F.col(target)).alias(c) for c in columns])
     return (
         found.select(F.lit(target).alias("target"), "*")
         .unpivot("target", list(columns), "column_name", "correlation")
-        .select("column_name", F.when(~F.isnan("correlation"), F.col("correlation")).alias("correlation"))
+        .select("column_name", "correlation")
         .orderBy(F.col("correlation").desc_nulls_last())
     )

@@ -1,0 +1,42 @@
+"""What the physical plans must and must not contain."""
+
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df, capsys):
+    df.explain()
+    return capsys.readouterr().out
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["approval_rate_ranked", "bin_processor_stats", "encode_all", "training_features", "candidate_features"],
+)
+def test_no_product_joins_and_no_python(spark, capsys, name):
+    plan = plan_of(entry.queries()[name](spark, SF), capsys)
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "BatchEvalPython"):
+        assert operator not in plan
+
+
+def test_date_filter_reaches_the_scan_and_few_columns_are_read(spark, capsys):
+    plan = plan_of(entry.queries()["bin_processor_stats"](spark, SF), capsys)
+    assert "GreaterThanOrEqual(l_shipdate,2001-05-15T00:00)" in plan
+    assert "l_extendedprice" not in plan and "o_totalprice" not in plan
+
+
+def test_attempts_are_grouped_and_limited_before_the_window(spark, capsys):
+    for name in ("approval_rate_ranked", "bin_processor_stats"):
+        plan = plan_of(entry.queries()[name](spark, SF), capsys)
+        partial = plan.index("1, Partial")
+        assert plan.index("1, Final") < partial
+        assert "HashAggregate(keys=[txid" in plan[partial:]
+
+
+def test_dictionary_joins_are_broadcast_by_size(spark, capsys):
+    plan = plan_of(entry.queries()["encode_all"](spark, SF), capsys)
+    assert plan.count("BroadcastHashJoin [coalesce(") + plan.count("LeftOuter, BuildRight") >= 7
+    assert "SortMergeJoin" not in plan
