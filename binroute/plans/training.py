@@ -85,8 +85,11 @@ def retrain(
     hold-out accuracy; ``stats_from="train"`` takes them from the training part.
     """
     ready = prepare(training, existing, require_success=require_success)
-    base = [c for c in ready.rows.columns if c not in FEATURES[4:]]
-    parts = split.stratified_split(ready.rows, learning.LABEL, content_key(base), fraction)
+    # The key sees all columns, so that few rows share one; only these are kept.
+    key = content_key([c for c in ready.rows.columns if c not in FEATURES[4:]])
+    base = ["processor_name_encoded", learning.LABEL, *FEATURES[:4]]
+    keyed = ready.rows.select(*base, *FEATURES[4:], key.alias("order_key"))
+    parts = split.stratified_split(keyed, learning.LABEL, F.col("order_key"), fraction).drop("order_key")
     stats = ready.stats
     if stats_from == "train":
         kept = parts.where(~F.col("is_holdout")).select(*base)

@@ -1,0 +1,143 @@
+"""One payment holds a third of all attempts and of all cards: results stay
+whole, and what reaches a window over payments stays small."""
+
+import datetime as dt
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from conftest import DAY
+from pyspark.sql import functions as F
+
+from binroute.constants import ERROR_BLACKLIST
+from binroute.functions import exact_percent
+from binroute.operators import approval, features, filters
+from binroute.operators import attempts as att
+from binroute.sources import schemas
+
+ERRORS = [None, "", "Do not honor", "Expired card"]
+STATUSES = ["approved", "declined", "filtered", None]
+
+
+@pytest.fixture(scope="module")
+def data():
+    rng = random.Random(11)
+
+    def attempt(txid, moment):
+        return (
+            txid,
+            f"P{rng.randrange(4)}",
+            rng.choice(STATUSES),
+            rng.choice(ERRORS),
+            dt.datetime(2026, 1, 10) + dt.timedelta(minutes=moment),
+            DAY,
+        )
+
+    rows = [attempt(rng.randrange(1, 900), rng.randrange(3)) for _ in range(4000)]
+    # Half of the hot payment's attempts tie at its first moment.
+    rows += [attempt(0, 0 if rng.random() < 0.5 else rng.randrange(1, 1000)) for _ in range(2000)]
+    cards = [(t, f"{400000 + rng.randrange(5)}{t:06d}") for t in range(900)]
+    cards += [(0, f"{400000 + rng.randrange(5)}99") for _ in range(450)]
+    return rows, cards
+
+
+@pytest.fixture
+def frames(spark, data):
+    return spark.createDataFrame(data[0], schemas.TRANSACTIONS), spark.createDataFrame(data[1], schemas.CUSTOMERS)
+
+
+def counted(first, cards):
+    """{(bin, processor): [total, success]} from (txid, processor, status)."""
+    per_payment = defaultdict(list)
+    for txid, card in cards:
+        per_payment[txid].append(card[:6])
+    found = defaultdict(lambda: [0, 0])
+    for txid, processor, status in first:
+        for bin_no in per_payment[txid]:
+            pair = found[bin_no, processor]
+            pair[0] += status in ("approved", "declined")
+            pair[1] += status == "approved"
+    return dict(found)
+
+
+def at_first(rows):
+    firsts = {}
+    for r in rows:
+        firsts[r[0]] = min(firsts.get(r[0], r[4]), r[4])
+    return firsts
+
+
+def test_stats(spark, data, frames):
+    rows, cards = data
+    firsts = at_first(rows)
+    kept = [r[:3] for r in rows if r[4] == firsts[r[0]] and r[3] not in ERROR_BLACKLIST]
+    got = approval.bin_processor_stats(*frames, filters.blacklist_table(spark), "2026-01-20").collect()
+    assert {(r.bin, r.processor_name): [r.total, r.total_success] for r in got} == counted(kept, cards)
+
+
+def test_ranking(data, frames):
+    rows, cards = data
+    usable = [r for r in rows if r[3] is not None and r[3] not in ERROR_BLACKLIST]
+    firsts = at_first(usable)
+    best = {}
+    for r in usable:
+        if r[4] == firsts[r[0]]:
+            best.setdefault((r[0], r[1]), []).append(r[2])
+    kept = [(t, p, min((s for s in found if s), default=None)) for (t, p), found in best.items()]
+    got = approval.approval_rate_ranked(*frames, "2026-01-01", "2026-01-31").collect()
+    assert {(r.bin, r.processor): [r.total, r.total_success] for r in got} == counted(kept, cards)
+    bins = ["400001", "400003"]
+    some = approval.approval_rate_ranked(*frames, "2026-01-01", "2026-01-31", bins=bins).collect()
+    assert sorted(map(tuple, some)) == sorted(tuple(r) for r in got if r.bin in bins)
+
+
+def test_raw_ties(data, frames):
+    rows, _ = data
+    firsts = at_first(rows)
+    expected = Counter(r[:3] for r in rows if r[4] == firsts[r[0]])
+    got = att.first_attempts(frames[0]).select("txid", "processor_name", "status").collect()
+    assert Counter(tuple(r) for r in got) == expected
+
+
+def test_hot_payment_is_small_before_any_window(frames):
+    flagged = frames[0].withColumn("blacklisted", F.lit(False))
+    assert att.first_attempt_counts(flagged).where("txid = 0").count() <= 4
+    assert att.card_bins(frames[1]).where("txid = 0").count() <= 5
+
+
+def test_joins_split_a_hot_payment(spark, frames):
+    """Without broadcasts, the raw joins must be splittable by the skew join."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = att.txn_with_bin(*frames).groupBy("bin").count()
+        cards = att.card_bins(frames[1]).groupBy("txid", "bin").agg(F.sum("cards").alias("n"))
+        other = frames[0].join(cards, "txid").groupBy("bin").agg(F.sum("n").alias("count"))
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, other.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_results_do_not_depend_on_broadcasts(spark, data, frames):
+    rows, cards = data
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    expected = approval.approval_rate_ranked(*frames, "2026-01-01", "2026-01-31").collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = approval.approval_rate_ranked(*frames, "2026-01-01", "2026-01-31").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_candidates_are_complete_for_any_number_of_lanes(spark):
+    bins = spark.range(50).select(F.col("id").alias("bin"))
+    processors = spark.range(37).select(F.col("id").cast("int").alias("processor_name_encoded"))
+    for lanes in (1, 16, 64):
+        pairs = features.candidate_pairs(bins, processors, lanes)
+        assert pairs.count() == pairs.distinct().count() == 50 * 37
+
+
+def test_percent_of_huge_counts(spark):
+    row = spark.createDataFrame([(3 * 10**15 + 1, 9 * 10**15)], "s long, t long")
+    assert row.select(exact_percent(F.col("s"), F.col("t"), 4)).first()[0] == 33.3333
