@@ -170,6 +170,12 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _prepared(spark, sf).pairs
 
 
+def _valid_processors(spark: SparkSession, sf: str) -> DataFrame:
+    """Rare processors go after BINs without success have gone."""
+    pairs = _pairs(spark, sf)
+    return features.valid_processors(pairs.join(features.successful_bins(pairs), "bin", "left_semi"))
+
+
 def _stats(name: str) -> Query:
     return lambda spark, sf: getattr(_prepared(spark, sf).stats, name)
 
@@ -311,7 +317,8 @@ def queries() -> dict[str, Query]:
         "decode_processor": _decoded,
         # statistics and features
         "successful_bins": lambda s, d: features.successful_bins(_pairs(s, d)),
-        "valid_processors": lambda s, d: features.valid_processors(_pairs(s, d)),
+        "valid_processors": _valid_processors,
+        "valid_processors_nb": lambda s, d: features.valid_processors(_pairs(s, d)),
         "all_processors": _stats("all_processors"),
         "bin_tx": _stats("bin_tx"),
         "bin_success": _stats("bin_success"),

@@ -431,7 +431,9 @@ def oracle_sql() -> dict[str, str]:
         # statistics and features
         "successful_bins": _with(*ENCODED)
         + "SELECT bin FROM labelled WHERE bin IS NOT NULL GROUP BY bin HAVING AVG(success_flag) > 0",
-        "valid_processors": _with(*ENCODED)
+        "valid_processors": _with(*RETRAIN)
+        + "SELECT processor_name_encoded FROM good GROUP BY 1 HAVING COUNT(*) >= 10",
+        "valid_processors_nb": _with(*ENCODED)
         + "SELECT processor_name_encoded FROM labelled WHERE bin IS NOT NULL GROUP BY 1 HAVING COUNT(*) >= 10",
         "all_processors": _with(*RETRAIN) + "SELECT DISTINCT processor_name_encoded FROM kept",
         "bin_tx": _with(*RETRAIN) + "SELECT * FROM bin_tx",
