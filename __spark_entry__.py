@@ -148,7 +148,7 @@ def _encode_column(spark: SparkSession, sf: str) -> DataFrame:
 
 def _encoded(spark: SparkSession, sf: str, columns=CATEGORICAL) -> DataFrame:
     rows = _training(spark, sf)
-    encoder = encoding.fit_encoder(encoding.category_profile(rows, columns), _seed(spark))
+    encoder = encoding.fit_encoder(encoding.written_profile(rows, columns), _seed(spark))
     return encoding.encode(rows, encoder, columns)
 
 

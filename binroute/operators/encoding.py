@@ -43,6 +43,10 @@ def category_profile(
     )
 
 
+def written_profile(rows: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+    return materialize(category_profile(rows, columns), "profile")
+
+
 def column_modes(profile: DataFrame) -> DataFrame:
     """Most frequent value per column; the smallest of several."""
     best = F.min(F.struct((-F.col("n")).alias("n"), "category"))
@@ -99,8 +103,11 @@ class Encoder:
 
 
 def fit_encoder(profile: DataFrame, existing: DataFrame) -> Encoder:
-    """Encoder for the columns of a category profile."""
-    profile = materialize(profile, "profile")
+    """Encoder for the columns of a category profile.
+
+    The profile is read more than once; one that comes straight from the rows
+    should be written first (``written_profile``).
+    """
     dictionary = extend_dictionary(existing, profile)
     modes = column_modes(profile).select("column_name", F.col("mode").alias("category"), F.lit(True).alias("_mode"))
     marked = dictionary.join(modes, ["column_name", "category"], "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binroute.constants import MIN_PROCESSOR_ROWS
@@ -29,18 +29,16 @@ def drop_null_bin(rows: DataFrame) -> DataFrame:
 
 
 def pair_counts(rows: DataFrame, weight: Column | None = None) -> DataFrame:
-    """Rows and successes per BIN and processor.
+    """Rows and successes per BIN and processor; all statistics follow from it.
 
-    Written out, as every statistic is a re-aggregation of this small table.
     ``weight`` is as in a category profile.
     """
     n = (F.lit(1) if weight is None else weight).cast("long")
-    counts = (
+    return (
         drop_null_bin(rows)
         .groupBy(*PAIR)
         .agg(F.sum(n).alias("tx"), F.sum(n * F.col("success_flag")).alias("success"))
     )
-    return materialize(counts, "pairs")
 
 
 def successful_bins(pairs: DataFrame) -> DataFrame:
@@ -119,21 +117,22 @@ def fit_stats(
     what is left decides which processors are frequent enough. Without it
     (notebook order) only rare processors are dropped.
     """
+    # Windows over pairs, not rows: a BIN meets each processor once, and a
+    # processor each BIN, of which there are fewer than a million.
+    by_bin, by_processor = Window.partitionBy("bin"), Window.partitionBy("processor_name_encoded")
     if require_success:
-        pairs = pairs.join(successful_bins(pairs), "bin", "left_semi")
-    pairs = pairs.join(valid_processors(pairs, min_processor_rows), "processor_name_encoded", "left_semi")
-    per_bin = pairs.groupBy("bin").agg(F.sum("tx").alias("bin_tx"), F.sum("success").alias("bin_success"))
-    per_processor = pairs.groupBy("processor_name_encoded").agg(
-        F.sum("tx").alias("proc_tx"), F.sum("success").alias("proc_success")
-    )
-    joined = pairs.join(per_bin, "bin").join(per_processor, "processor_name_encoded")
+        pairs = pairs.withColumn("_success", F.sum("success").over(by_bin)).where(F.col("_success") > 0)
+    frequent = pairs.withColumns(
+        {"_proc_tx": F.sum("tx").over(by_processor), "_proc_success": F.sum("success").over(by_processor)}
+    ).where(F.col("_proc_tx") >= min_processor_rows)
+    summed = frequent.withColumns({"_bin_tx": F.sum("tx").over(by_bin), "_bin_success": F.sum("success").over(by_bin)})
     return Stats(
         materialize(
-            joined.select(
+            summed.select(
                 *PAIR,
-                F.col("bin_tx").alias("bin_tx_count"),
-                (F.col("bin_success") / F.col("bin_tx")).alias("bin_success_rate"),
-                (F.col("proc_success") / F.col("proc_tx")).alias("processor_success_rate"),
+                F.col("_bin_tx").alias("bin_tx_count"),
+                (F.col("_bin_success") / F.col("_bin_tx")).alias("bin_success_rate"),
+                (F.col("_proc_success") / F.col("_proc_tx")).alias("processor_success_rate"),
                 F.col("tx").alias("bin_processor_tx_count"),
                 F.col("success").alias("bin_processor_success_count"),
                 (F.col("success") / F.col("tx")).alias("bin_processor_success_rate"),

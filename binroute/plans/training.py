@@ -45,7 +45,7 @@ def prepare(
     counts = materialize(training.groupBy("bin", *COUNTED).agg(F.count("*").alias("n")), "counts")
     profile = encoding.category_profile(counts, COUNTED, F.col("n"))
     if others:
-        profile = profile.unionByName(encoding.category_profile(training, others))
+        profile = profile.unionByName(encoding.written_profile(training, others))
     encoder = encoding.fit_encoder(profile, existing)
 
     cells = features.labelled(encoding.encode(counts, encoder, COUNTED))
