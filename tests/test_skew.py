@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from binroute.constants import ERROR_BLACKLIST
 from binroute.functions import exact_percent
-from binroute.operators import approval, features, filters
+from binroute.operators import approval, encoding, features, filters
 from binroute.operators import attempts as att
 from binroute.sources import schemas
 
@@ -105,17 +105,78 @@ def test_hot_payment_is_small_before_any_window(frames):
     assert att.card_bins(frames[1]).where("txid = 0").count() <= 5
 
 
-def test_joins_split_a_hot_payment(spark, frames):
-    """Without broadcasts, the raw joins must be splittable by the skew join."""
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        whole = att.txn_with_bin(*frames).groupBy("bin").count()
-        cards = att.card_bins(frames[1]).groupBy("txid", "bin").agg(F.sum("cards").alias("n"))
-        other = frames[0].join(cards, "txid").groupBy("bin").agg(F.sum("n").alias("count"))
-        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, other.collect()))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+SMALL_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.shuffle.partitions": "16",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10000",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+}
+
+
+@pytest.fixture
+def small_skew(spark):
+    before = {key: spark.conf.get(key) for key in SMALL_SKEW}
+    for key, value in SMALL_SKEW.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def hot_rows(spark, columns, n=300_000):
+    third = F.col("id") % 3 == 0
+    return spark.range(0, n, 1, 16).select(
+        *[F.when(third, F.lit(hot)).otherwise(cold).alias(name) for name, (hot, cold) in columns.items()],
+        F.xxhash64("id").alias("payload"),
+    )
+
+
+def splits(df, capsys):
+    """Run with all columns in use, and look for a split join in the final plan."""
+    whole = df.agg(F.sum(F.hash(*df.columns).cast("long")))
+    whole.collect()
+    whole.explain()
+    return "SortMergeJoin(skew=true)" in capsys.readouterr().out
+
+
+def test_every_join_on_raw_rows_can_split_a_hot_key(spark, small_skew, capsys):
+    """Whatever is too large to broadcast must not meet in one task."""
+    moment = F.timestamp_seconds(F.lit(1_768_000_000) + F.col("id") % 5000).cast("timestamp_ntz")
+    rows = hot_rows(
+        spark,
+        {
+            "txid": (0, F.col("id")),
+            "created_datetime": (dt.datetime(2026, 1, 1), moment),
+            "error_description": (None, (F.col("id") % 100_000).cast("string")),
+        },
+    ).withColumns({"processor_name": F.lit("P"), "status": F.lit("approved")})
+    rows = rows.withColumn("error_description", F.col("error_description").cast("string"))
+    cards = spark.range(0, 100_000, 1, 16).select(F.col("id").alias("txid"), F.lit("40000199").alias("card_no"))
+    listed = spark.range(50).select(F.col("id").cast("string").alias("error_description"))
+
+    assert splits(att.txn_with_bin(rows.withColumn("status", F.col("payload").cast("string")), cards), capsys)
+    assert splits(att.first_attempts(rows), capsys)
+    assert splits(filters.drop_blacklisted_anti(rows, listed), capsys)
+    assert splits(filters.flag_blacklisted(rows, listed), capsys)
+    assert splits(rows.join(att.card_bins(cards).select("txid"), "txid", "left_semi"), capsys)
+
+    training = hot_rows(
+        spark,
+        {
+            "bin": (400000, F.col("id") % 100_000),
+            "processor_name_encoded": (1, (F.col("id") % 11).cast("int")),
+            "success_flag": (1, (F.col("id") % 2).cast("int")),
+        },
+    )
+    stats = features.fit_stats(features.pair_counts(training))
+    assert splits(features.training_features(training, stats), capsys)
+
+    words = hot_rows(spark, {"word": ("hot", F.col("id").cast("string"))})
+    encoder = encoding.fit_encoder(
+        encoding.written_profile(words, ["word"]), encoding.dictionary_frame(spark, {"word": {"a": 0}})
+    )
+    assert splits(encoding.encode(words, encoder, ["word"]), capsys)
 
 
 def test_results_do_not_depend_on_broadcasts(spark, data, frames):
