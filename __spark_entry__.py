@@ -79,6 +79,11 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _dated(attempt_rows: DataFrame) -> DataFrame:
+    """Dates as text: clients differ in the type they give a date."""
+    return attempt_rows.withColumn("created_date", F.col("created_date").cast("string"))
+
+
 def _first_usable(spark: SparkSession, sf: str) -> DataFrame:
     return attempts.first_attempt_per_processor(fx.transactions(spark, sf)).select(
         "txid", "processor_name", "status"
@@ -280,9 +285,9 @@ def queries() -> dict[str, Query]:
             fx.transactions(s, d), as_of=fx.AS_OF
         ),
         # building blocks
-        "blacklist_not_in": lambda s, d: filters.drop_blacklisted_not_in(fx.transactions(s, d)),
-        "blacklist_anti_join": lambda s, d: filters.drop_blacklisted_anti(
-            fx.transactions(s, d), filters.blacklist_table(s)
+        "blacklist_not_in": lambda s, d: _dated(filters.drop_blacklisted_not_in(fx.transactions(s, d))),
+        "blacklist_anti_join": lambda s, d: _dated(
+            filters.drop_blacklisted_anti(fx.transactions(s, d), filters.blacklist_table(s))
         ),
         "txn_with_bin": lambda s, d: attempts.txn_with_bin(*_inputs(s, d)[:2]),
         "first_attempt_time": lambda s, d: attempts.first_times(fx.transactions(s, d)),

@@ -344,7 +344,10 @@ BIN_COUNTS = """SELECT COUNT(DISTINCT bin) AS valid, COUNT(bin) - COUNT(DISTINCT
 TRAINING_COLUMNS = ("bin", *COLUMNS, "l_orderkey", "l_linenumber")
 ANTI = "NOT EXISTS (SELECT 1 FROM error_blacklist e WHERE e.error_description = t.error_description)"
 NOT_IN = f"t.error_description NOT IN ({ERRORS})"
-ATTEMPT = "txid, processor_name, status, error_description, created_datetime, created_date"
+ATTEMPT = (
+    "txid, processor_name, status, error_description, created_datetime, "
+    "CAST(created_date AS VARCHAR) AS created_date"
+)
 
 
 def _routed(threshold: float) -> str:
