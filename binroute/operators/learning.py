@@ -81,3 +81,9 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
         .withColumn("prediction", F.col("prediction").cast("int"))
         .drop("features", "rawPrediction", "probability")
     )
+
+
+def training_accuracy(model: PipelineModel, cells: DataFrame) -> DataFrame:
+    """Share of training rows that the model gets right, from weighted cells."""
+    scored = score(model, cells).withColumn("hit", (F.col("prediction") == F.col(LABEL)).cast("long") * F.col("n"))
+    return scored.agg(safe_div(F.sum("hit"), F.sum("n")).alias("accuracy"))

@@ -65,6 +65,7 @@ class Trained:
     model: PipelineModel
     stats: features.Stats
     encoder: encoding.Encoder
+    cells: DataFrame
     holdout: DataFrame
     accuracy: float
     message: str
@@ -102,7 +103,7 @@ def retrain(
         scored.select(F.col(learning.LABEL).alias("label"), "score", "prediction"), "holdout"
     )
     accuracy = evaluation.accuracy(holdout).first()["accuracy"]
-    return Trained(model, stats, ready.encoder, holdout, accuracy, run_message(accuracy))
+    return Trained(model, stats, ready.encoder, cells, holdout, accuracy, run_message(accuracy))
 
 
 def _reattach(rows: DataFrame, stats: features.Stats) -> DataFrame:

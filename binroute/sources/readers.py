@@ -13,6 +13,29 @@ from binroute.operators.filters import bins_from_column
 from binroute.sources import schemas
 
 
+# Texts that a CSV cell without a value may hold.
+CSV_NULLS = (
+    "#N/A",
+    "#N/A N/A",
+    "#NA",
+    "-1.#IND",
+    "-1.#QNAN",
+    "-NaN",
+    "-nan",
+    "1.#IND",
+    "1.#QNAN",
+    "<NA>",
+    "N/A",
+    "NA",
+    "NULL",
+    "NaN",
+    "None",
+    "n/a",
+    "nan",
+    "null",
+)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
@@ -57,9 +80,11 @@ def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path} lacks the columns {missing}")
     text = T.StructType([T.StructField(name, T.StringType()) for name in header])
     rows = spark.read.schema(text).option("header", True).option("encoding", "UTF-8").csv(path)
+    valued = rows.select(
+        *[F.when(~F.col(c).isin(*CSV_NULLS), F.col(c)).alias(c) for c in schemas.TRAINING.names]
+    )
     # A column with NULLs may have been written as decimals: 510123.0
-    bin_no = F.col("bin").cast("double").cast("long").alias("bin")
-    return rows.select(bin_no, *schemas.CATEGORICAL)
+    return valued.withColumn("bin", F.col("bin").cast("double").cast("long"))
 
 
 def read_bin_csv(spark: SparkSession, path: str) -> DataFrame:

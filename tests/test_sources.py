@@ -3,7 +3,7 @@
 import pytest
 from conftest import tuples
 
-from binroute.operators import encoding
+from binroute.operators import encoding, learning
 from binroute.plans import training as plan
 from binroute.sources import readers, schemas, scratch, writers
 
@@ -23,7 +23,7 @@ def test_training_csv_orders_columns_and_ignores_others(spark, tmp_path):
     (tmp_path / "t.csv").write_text(
         "status,bin,merchant,extra,card_type,is_3d,currency,processor_name,project_name\n"
         "approved,510123,Café,z,Visa,t,EUR,P1,X \n"
-        "declined,462263.0,,z,,f,,P2,\n"
+        "declined,462263.0,,z,n/a,f,NULL,P2,\n"
     )
     rows = readers.read_training_csv(spark, str(tmp_path / "t.csv"))
     assert rows.columns == schemas.TRAINING.names
@@ -80,6 +80,8 @@ def test_retrain_publish_and_score(spark, tmp_path):
     seed = encoding.dictionary_frame(spark, SEED)
     done = plan.retrain_and_publish(payments(spark), base, seed, trees=3)
     assert 0.0 <= done.accuracy <= 1.0 and done.holdout.count() == 24
+    assert 0.0 <= learning.training_accuracy(done.model, done.cells).first()[0] <= 1.0
+    assert done.cells.agg({"n": "sum"}).first()[0] == 96
     assert done.message.startswith("Old Accuracy: 0.00%, New Accuracy: ")
     first = writers.latest_run(spark, base)
     codes = {r.category: r.code for r in writers.load_latest(spark, base).dictionary.collect()}
