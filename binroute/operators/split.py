@@ -32,11 +32,13 @@ def class_quotas(counts: DataFrame, label: str, fraction: float = HOLDOUT_FRACTI
     everything = Window.partitionBy()
     by_remainder = Window.partitionBy().orderBy(F.desc("remainder"), label)
     total = F.sum("n").over(everything)
-    kept = (total - F.ceil(F.lit(fraction) * total)).alias("kept")
-    share = F.col("n") * F.col("kept")
+    kept = total - F.ceil(F.lit(fraction) * total)
+    # n * kept exceeds a long from some billions of rows on.
+    share = F.col("n").cast("decimal(19,0)") * F.col("kept").cast("decimal(19,0)")
     return (
-        sizes.select(label, "n", kept, total.alias("total"))
-        .withColumns({"floor": F.floor(share / F.col("total")), "remainder": share % F.col("total")})
+        sizes.select(label, "n", kept.alias("kept"), total.alias("total"))
+        .withColumn("share", share)
+        .withColumns({"floor": F.expr("share div total"), "remainder": F.col("share") % F.col("total")})
         .withColumn("open", F.col("kept") - F.sum("floor").over(everything))
         .withColumn("train", F.col("floor") + (F.row_number().over(by_remainder) <= F.col("open")).cast("long"))
         .select(label, (F.col("n") - F.col("train")).cast("long").alias("quota"))

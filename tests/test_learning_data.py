@@ -173,6 +173,18 @@ def test_split_is_exact_even_with_many_copies(spark, hot):
         assert chosen == sorted(d[2] for d in data if d[1] == label)[: size - train[label]]
 
 
+def test_quotas_of_very_large_classes(spark):
+    counts = spark.createDataFrame([(0, 6 * 10**12 + 3), (1, 4 * 10**12 + 1)], "label int, n long")
+    n, test = 10**13 + 4, 2 * 10**12 + 1
+    shares = [(6 * 10**12 + 3) * (n - test), (4 * 10**12 + 1) * (n - test)]
+    train = [share // n for share in shares]
+    train[0 if shares[0] % n >= shares[1] % n else 1] += n - test - sum(train)
+    assert tuples(split.class_quotas(counts, "label")) == [
+        (0, 6 * 10**12 + 3 - train[0]),
+        (1, 4 * 10**12 + 1 - train[1]),
+    ]
+
+
 def test_split_of_tiny_classes(spark):
     frame = spark.createDataFrame([(0, 1)] * 3 + [(1, 2)], "label int, k long")
     got = split.stratified_split(frame, "label", F.col("k"))

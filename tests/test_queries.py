@@ -24,3 +24,23 @@ def test_only_learning_lacks_sql():
 
 def test_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize(
+    "name, rows",
+    [
+        ("approval_rate_selected", 23),
+        ("bin_processor_stats", 243),
+        ("bin_processor_stats_all", 580),
+        ("poor_pairs", 1),
+        ("active_bins", 41),
+        ("active_processors", 10),
+        ("eval_roc", 61 + 1),  # the origin
+    ],
+)
+def test_known_sizes(spark, name, rows):
+    assert entry.queries()[name](spark, SF).count() == rows
+
+
+def test_known_null_rates(spark):
+    assert entry.queries()["approval_rate_selected"](spark, SF).where("ar IS NULL AND rnk = 1").count() == 3
