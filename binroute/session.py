@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(
-    cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", checkpoint_dir: str | None = None
-) -> SparkSession:
-    builder = (
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+    return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("binroute")
         .config("spark.ui.enabled", "false")
@@ -17,7 +15,5 @@ def local_session(
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .getOrCreate()
     )
-    if checkpoint_dir:
-        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
-    return builder.getOrCreate()

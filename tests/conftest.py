@@ -12,9 +12,8 @@ from binroute.sources import schemas  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    scratch = str(tmp_path_factory.mktemp("checkpoints"))
-    session = local_session(8, shuffle_partitions=4, checkpoint_dir=scratch)
+def spark():
+    session = local_session(8, shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     return session
 

@@ -103,8 +103,26 @@ def test_retrain_publish_and_score(spark, tmp_path):
     assert {r.Processor for r in rows if r["Fallback External"] == "Yes"} == {"P2"}
 
 
-def test_scratch_folder_is_the_configured_one(spark):
-    configured = spark.conf.get("spark.checkpoint.dir")
-    assert scratch.scratch_dir(spark) == configured
+def test_scratch_tables_lie_in_the_folder_of_the_session(spark):
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    folder = scratch.scratch_dir(spark)
+    assert folder == configured.rstrip("/") if configured else spark.sparkContext.getCheckpointDir()
     kept = scratch.materialize(spark.range(3), "kept")
-    assert all(f"{configured}/binroute/{spark.sparkContext.applicationId}/kept-" in name for name in kept.inputFiles())
+    assert all(f"/binroute/{spark.sparkContext.applicationId}/kept-" in name for name in kept.inputFiles())
+    assert all(folder.removeprefix("file:") in name for name in kept.inputFiles())
+
+
+class OtherSession:
+    """A session of a cluster that names no folder."""
+
+    class conf:  # noqa: N801
+        get = staticmethod(lambda key, default: default)
+
+    class sparkContext:  # noqa: N801
+        master = "yarn"
+        getCheckpointDir = staticmethod(lambda: None)
+
+
+def test_a_cluster_must_name_its_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_dir(OtherSession)
