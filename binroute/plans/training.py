@@ -27,6 +27,31 @@ class Prepared:
     rows: DataFrame
 
 
+def category_counts(training: DataFrame, others: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows per BIN and counted categories, and the profile of all categories.
+
+    Grouping sets yield both in one pass: a set of BIN and counted categories,
+    and a set for each other column, whose codes are only for the result.
+    """
+    together = ["bin", *COUNTED]
+    text = training.select("bin", *[F.col(c).cast("string").alias(c) for c in (*COUNTED, *others)])
+    sets = text.groupingSets([together, *[[c] for c in others]], *together, *others)
+    counted = materialize(sets.agg(F.count("*").alias("n"), F.grouping_id().alias("_set")), "counts")
+
+    # The grouping id has a bit per column, the last column lowest, set where
+    # the column is not in the set.
+    every = (1 << (len(together) + len(others))) - 1
+    set_of = {c: every - (1 << (len(others) - 1 - i)) for i, c in enumerate(others)}
+    counts = counted.where(F.col("_set") == (1 << len(others)) - 1).select(*together, "n")
+    profile = encoding.category_profile(counts, COUNTED, F.col("n"))
+    for column, number in set_of.items():
+        single = counted.where(F.col("_set") == number)
+        profile = profile.unionByName(
+            single.select(F.lit(column).alias("column_name"), F.col(column).alias("category"), "n")
+        )
+    return counts, profile
+
+
 def prepare(
     training: DataFrame,
     existing: DataFrame,
@@ -36,16 +61,11 @@ def prepare(
 ) -> Prepared:
     """Encode, filter, compute statistics and attach them to every row.
 
-    One pass counts rows per BIN and the raw values that features depend on;
-    codes, modes and statistics come from those counts. Other columns, whose
-    codes are only for the result, are profiled in a second pass. ``rows`` is
-    lazy and costs a third one when used.
+    One pass counts everything that codes, modes and statistics need. ``rows``
+    is lazy and costs a second pass when used.
     """
     others = [c for c in columns if c not in COUNTED]
-    counts = materialize(training.groupBy("bin", *COUNTED).agg(F.count("*").alias("n")), "counts")
-    profile = encoding.category_profile(counts, COUNTED, F.col("n"))
-    if others:
-        profile = profile.unionByName(encoding.written_profile(training, others))
+    counts, profile = category_counts(training, others)
     encoder = encoding.fit_encoder(profile, existing)
 
     cells = features.labelled(encoding.encode(counts, encoder, COUNTED))

@@ -88,6 +88,25 @@ def prepared(spark, rows, **options):
     return plan.prepare(training_rows(spark, rows), encoding.dictionary_frame(spark, SEED), **options)
 
 
+@pytest.mark.parametrize("others", [[], ["merchant"], ["merchant", "card_type", "currency", "project_name"]])
+def test_one_pass_counts_equal_the_direct_profile(spark, others):
+    rng = random.Random(len(others))
+
+    def pick(*values):
+        return rng.choice([*values, None])
+
+    rows = spark.createDataFrame(
+        [
+            (pick(1, 2), pick("m", "n"), pick("c"), pick("approved", "declined"), pick("t", "f"), None, pick("P", "Q"), "x")
+            for _ in range(300)
+        ],
+        schemas.TRAINING,
+    )
+    counts, counted = plan.category_counts(rows, others)
+    assert tuples(counted) == tuples(encoding.category_profile(rows, [*plan.COUNTED, *others]))
+    assert tuples(counts) == tuples(rows.groupBy("bin", *plan.COUNTED).agg(F.count("*").alias("n")))
+
+
 def test_processor_needs_ten_rows(spark):
     rows = [(1, "nine", "approved")] * 9 + [(1, "ten", "approved")] * 10
     ready = prepared(spark, rows)
