@@ -32,6 +32,14 @@ from binroute.sources.schemas import CATEGORICAL, FEATURES  # noqa: E402
 from binroute.sources.scratch import materialize, scratch_path  # noqa: E402
 from binroute.sources.writers import write_report_csv  # noqa: E402
 
+try:  # the text operators are an optional part: they may be absent
+    import corpus_pipeline  # noqa: F401
+    from binroute.llm import registry as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "binroute.llm"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 WHOLE = oracles.WHOLE
@@ -366,8 +374,8 @@ def queries() -> dict[str, Query]:
         "predicted_vs_actual": lambda s, d: routing.predicted_vs_actual(_top(s, d), _report(s, d)),
         # learning (no SQL equivalent)
         "gbt_scores": _gbt(class_weighted=True),
-    }
+    } | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | (llm.oracle_sql() if llm else {})
