@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, packing
+from . import bpe, chunks, oracles, packing, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,14 @@ def _packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed(table(spark, sf, "documents"))
 
 
+def _rules(spark: SparkSession, sf: str) -> DataFrame:
+    rows = rules.decide(rules.ledger(rules.measure(table(spark, sf, "documents"))))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~F.col("kept_base")).alias("base_failed"), F.col("kept_v1").alias("kept"), "n_lines", "n_exclamations", "failed_bits",
+    )
+
+
 def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.compare_with_edits(table(spark, sf, "documents"))
 
@@ -44,9 +52,10 @@ def queries() -> dict[str, Query]:
     return {
         "op5_bpe": _bpe,
         "op6_packing": _packing,
+        "op8_quality_rules": _rules,
         "op10_fingerprints": _fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
