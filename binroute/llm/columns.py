@@ -82,8 +82,8 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 @dataclass
-class Words:
-    """Words of a slice; ``first[i]`` to ``first[i + 1]`` are those of row i."""
+class Runs:
+    """Tokens of a slice; ``first[i]`` to ``first[i + 1]`` are those of row i."""
 
     starts: np.ndarray
     ends: np.ndarray
@@ -91,18 +91,30 @@ class Words:
     first: np.ndarray
 
 
-def words(column: pa.Array) -> Words:
+#: Byte classes: 0 separates; a run of any other class is a token.
+WORDS = (~_SPACE).astype(np.uint8)
+WORDS_AND_MARKS = np.where(_SPACE, 0, 2).astype(np.uint8)
+WORDS_AND_MARKS[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
+
+
+def runs(column: pa.Array, classes: np.ndarray = WORDS) -> Runs:
     data, bounds = flat(column)
-    inside = ~_SPACE[data]
-    at_start = np.zeros(len(data) + 1, bool)
-    at_start[bounds] = True
-    before = np.zeros(len(data), bool)
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | at_start[:-1]))
-    after = np.zeros(len(data), bool)
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | at_start[1:])) + 1
-    return Words(starts, ends, run_hashes(data, starts, ends), np.searchsorted(starts, bounds))
+    kind = classes[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    edge[1:-1] |= kind[1:] != kind[:-1]
+    starts = np.flatnonzero(edge[:-1] & (kind != 0))
+    ends = np.flatnonzero(edge[1:] & (kind != 0)) + 1
+    return Runs(starts, ends, run_hashes(data, starts, ends), np.searchsorted(starts, bounds))
+
+
+def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of each row's values; rows without values give 0."""
+    out = np.zeros((len(first) - 1, *values.shape[1:]))
+    some = first[1:] > first[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, first[:-1][some], axis=0)
+    return out
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:

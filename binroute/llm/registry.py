@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, oracles, packing, rules
+from . import bpe, chunks, oracles, packing, resampling, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "labels"), F.col("quality") == 1)
+
+
 def _bpe(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
@@ -50,6 +54,7 @@ def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_importance_resampling": _resampling,
         "op5_bpe": _bpe,
         "op6_packing": _packing,
         "op8_quality_rules": _rules,
