@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, oracles, packing, resampling, rules
+from . import bpe, chunks, language, oracles, packing, resampling, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,16 @@ def _resampling(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "labels"), F.col("quality") == 1)
 
 
+def _language(spark: SparkSession, sf: str) -> DataFrame:
+    rows = language.document_evidence(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    return language.identify(rows, language.fit(rows)).select("doc_id", "language", "posterior", "kept")
+
+
+def _page_language(spark: SparkSession, sf: str) -> DataFrame:
+    rows = language.page_evidence(table(spark, sf, "pages"))
+    return language.identify(rows, language.fit(rows)).select("page_id", "language", "posterior", "kept")
+
+
 def _bpe(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
@@ -55,6 +65,8 @@ def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_importance_resampling": _resampling,
+        "op4_language_id": _language,
+        "page_language": _page_language,
         "op5_bpe": _bpe,
         "op6_packing": _packing,
         "op8_quality_rules": _rules,
