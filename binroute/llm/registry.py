@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, language, oracles, packing, resampling, rules
+from . import bpe, chunks, language, near_duplicates, oracles, packing, resampling, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def _resampling(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "labels"), F.col("quality") == 1)
 
 
+def _near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf, "documents"))
+
+
 def _language(spark: SparkSession, sf: str) -> DataFrame:
     rows = language.document_evidence(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
     return language.identify(rows, language.fit(rows)).select("doc_id", "language", "posterior", "kept")
@@ -65,6 +69,7 @@ def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_importance_resampling": _resampling,
+        "op2_order_minhash": _near_duplicates,
         "op4_language_id": _language,
         "page_language": _page_language,
         "op5_bpe": _bpe,
