@@ -8,11 +8,11 @@ only common content. Texts that agree in a table are candidates; a banded
 alignment of their words decides.
 
 Equal texts form one node from the start. Within a bucket each text is compared
-with two leaders, the least and the greatest digest, never all with all; texts
-alike to neither go on to the next round, where the rest of the bucket has new
-leaders, until a round finds no link. With a share J of common k-mers a pair
-agrees in a table with probability of about J^3: of 24 tables at least one agrees
-in all but 4e-8 of pairs at J = 0.8, 3e-4 at 0.66.
+with two leaders, never all with all. Further rounds look at texts of different
+classes that agree in two tables, again through leaders, others each time, until
+a round joins no classes. With a share J of common k-mers a pair agrees in a table
+with probability of about J^3: of 24 tables at least one agrees in all but 4e-8 of
+pairs at J = 0.8, 3e-4 at 0.66, and at least two in all but 1e-6 and 3e-3.
 """
 
 from __future__ import annotations
@@ -130,46 +130,76 @@ def _aligned(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "words_a", "words_b").mapInArrow(run, "a binary, b binary")
 
 
-def _with_leaders(members: DataFrame) -> DataFrame:
-    """Members of buckets with more than one text, each with the bucket's two leaders."""
-    node = F.struct("digest", "n_words")
-    leaders = members.groupBy("bucket").agg(F.min(node).alias("least"), F.max(node).alias("greatest")).where("least.digest <> greatest.digest")
-    return members.join(leaders, "bucket")
+def _alike_length(similarity: float) -> F.Column:
+    longer, shorter = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
+    return longer - shorter <= longer * (1 - similarity) + 1e-9
+
+
+def _led(members: DataFrame, bucket: str, order: F.Column, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of each member of a bucket with the first and the last in order, of fit length."""
+    node = F.struct(order.alias("order"), "digest", "n_words", "class")
+    leaders = members.groupBy(bucket).agg(F.min(node).alias("first"), F.max(node).alias("last")).where("first.class <> last.class")
+    met = members.join(leaders, bucket).select("digest", "n_words", "class", F.explode(F.array("first", "last")).alias("leader"))
+    pairs = met.where(F.col("class") != F.col("leader.class")).select(
+        F.greatest("digest", "leader.digest").alias("a"), F.least("digest", "leader.digest").alias("b"),
+        F.col("n_words").alias("n_a"), F.col("leader.n_words").alias("n_b"),
+    )
+    return pairs.where(_alike_length(similarity)).select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs that align. Only texts in pairs are read again, each once."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(nodes.select("digest", "rep"), "digest")
+    texts_of = _sequences(docs, id_col, text_col).join(
+        wanted.select(F.col("digest").alias("__d"), F.col("rep").alias("__r")),
+        (F.col("digest") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__r")),
+    )
+    texts_of = materialize(texts_of.select("digest", "words").dropDuplicates(["digest"]), "sequences")
+    a = texts_of.select(F.col("digest").alias("a"), F.col("words").alias("words_a"))
+    b = texts_of.select(F.col("digest").alias("b"), F.col("words").alias("words_b"))
+    return materialize(_aligned(pairs.join(a, "a").join(b, "b"), similarity), "links")
+
+
+def _two_tables(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes, by agreement in two tables at most three apart."""
+    mixed = members.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket")
+    rows = members.join(mixed, "bucket", "left_semi")
+    seats = rows.groupBy("digest", "n_words", "class").agg(F.collect_list(F.struct("table", "bucket")).alias("seats"))  # one per table at most
+    one = seats.select("digest", "n_words", "class", "seats", F.explode("seats").alias("one"))
+    two = one.select("digest", "n_words", "class", "one", F.explode("seats").alias("two"))
+    apart = F.pmod(F.col("two.table") - F.col("one.table"), F.lit(TABLES))
+    crowd = two.where(apart.between(1, 3)).select(F.xxhash64("one.bucket", "two.bucket").alias("bucket"), "digest", "n_words", "class")
+    return crowd
 
 
 def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified links ``(a, b)`` between different texts, by digest.
+    """Verified links ``(a, b)`` between different texts, by digest, that connect each class.
 
     ``nodes`` has one row per different text: ``digest, rep, n_words, signature``.
     """
     spread = nodes.select("digest", "n_words", F.posexplode("signature").alias("table", "value"))
-    members = spread.select(F.xxhash64("table", "value").alias("bucket"), "digest", "n_words")
-    found = None
-    while True:
-        led = materialize(_with_leaders(members), "buckets")
-        sides = F.explode(F.array("least", "greatest")).alias("leader")
-        longer, shorter = F.greatest("n_words", "leader.n_words"), F.least("n_words", "leader.n_words")
-        near = led.select("digest", "n_words", sides).where((F.col("digest") != F.col("leader.digest")) & (longer - shorter <= longer * (1 - similarity) + 1e-9))
-        pairs = near.select(F.greatest("digest", "leader.digest").alias("a"), F.least("digest", "leader.digest").alias("b")).distinct()
-        pairs = materialize(pairs, "candidates")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(nodes.select("digest", "rep"), "digest")
-        known = _sequences(docs, id_col, text_col)
-        texts_of = known.join(
-            wanted.select(F.col("digest").alias("__d"), F.col("rep").alias("__r")),
-            (F.col("digest") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__r")),
+    members = spread.select("table", F.xxhash64("table", "value").alias("bucket"), "digest", "n_words")
+    tried = materialize(_led(members.withColumn("class", F.col("digest")), "bucket", F.lit(0), similarity), "candidates")
+    found = _verified(tried, docs, nodes, similarity, id_col, text_col)
+    turn = 0
+    while not found.isEmpty():
+        turn += 1
+        known = components(found).withColumnsRenamed({"node": "digest", "class": "root"})
+        classed = members.join(known, "digest", "left").withColumn("class", F.coalesce("root", "digest")).drop("root")
+        crowd = _two_tables(classed)
+        # Two members speak for a class in a bucket; others do in other buckets and rounds.
+        place = F.xxhash64("bucket", "digest", F.lit(turn))
+        node = F.struct(place.alias("order"), "digest", "n_words")
+        pair = crowd.groupBy("bucket", "class").agg(F.min(node).alias("first"), F.max(node).alias("last"))
+        speakers = pair.select("bucket", "class", F.explode(F.array_distinct(F.array("first", "last"))).alias("one")).select(
+            "bucket", "class", "one.digest", "one.n_words", "one.order"
         )
-        texts_of = materialize(texts_of.select("digest", "words").dropDuplicates(["digest"]), "sequences")
-        a = texts_of.select(F.col("digest").alias("a"), F.col("words").alias("words_a"))
-        b = texts_of.select(F.col("digest").alias("b"), F.col("words").alias("words_b"))
-        fresh = materialize(_aligned(pairs.join(a, "a").join(b, "b"), similarity), "links")
-        found = fresh if found is None else found.unionByName(fresh)
+        pairs = materialize(_led(speakers, "bucket", F.col("order"), similarity).join(tried, ["a", "b"], "left_anti"), "candidates")
+        fresh = _verified(pairs, docs, nodes, similarity, id_col, text_col)
         if fresh.isEmpty():
-            return found
-        linked = fresh.unionByName(fresh.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("digest"), F.col("b").alias("other"))
-        # Who is a leader or alike to one is done with the bucket; the others meet again.
-        tried = led.where("digest <> least.digest AND digest <> greatest.digest")
-        done = tried.select("bucket", "digest", F.explode(F.array("least.digest", "greatest.digest")).alias("other")).join(linked, ["digest", "other"], "left_semi")
-        members = tried.select("bucket", "digest", "n_words").join(done.select("bucket", "digest").distinct(), ["bucket", "digest"], "left_anti")
+            break
+        found, tried = found.unionByName(fresh), tried.unionByName(pairs)
+    return found
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
