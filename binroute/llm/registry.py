@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, language, near_duplicates, oracles, packing, resampling, rules
+from . import bpe, chunks, language, near_duplicates, oracles, packing, passages, resampling, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,10 @@ def _packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed(table(spark, sf, "documents"))
 
 
+def _passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated(table(spark, sf, "documents"))
+
+
 def _rules(spark: SparkSession, sf: str) -> DataFrame:
     rows = rules.decide(rules.ledger(rules.measure(table(spark, sf, "documents"))))
     return rows.select(
@@ -74,6 +78,7 @@ def queries() -> dict[str, Query]:
         "page_language": _page_language,
         "op5_bpe": _bpe,
         "op6_packing": _packing,
+        "op7_compact_windows": _passages,
         "op8_quality_rules": _rules,
         "op10_fingerprints": _fingerprints,
     }
