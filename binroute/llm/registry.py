@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, language, near_duplicates, oracles, packing, passages, resampling, rules
+from . import bpe, chunks, conversations, language, licences, near_duplicates, oracles, packing, passages, resampling, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def _near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf, "documents"))
 
 
+def _roles(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.repair(table(spark, sf, "conversations"))
+
+
 def _language(spark: SparkSession, sf: str) -> DataFrame:
     rows = language.document_evidence(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
     return language.identify(rows, language.fit(rows)).select("doc_id", "language", "posterior", "kept")
@@ -66,6 +70,11 @@ def _rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _licences(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return licences.train(docs).scan(docs)
+
+
 def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.compare_with_edits(table(spark, sf, "documents"))
 
@@ -74,12 +83,14 @@ def queries() -> dict[str, Query]:
     return {
         "op1_importance_resampling": _resampling,
         "op2_order_minhash": _near_duplicates,
+        "op3_role_repair": _roles,
         "op4_language_id": _language,
         "page_language": _page_language,
         "op5_bpe": _bpe,
         "op6_packing": _packing,
         "op7_compact_windows": _passages,
         "op8_quality_rules": _rules,
+        "op9_licence_scan": _licences,
         "op10_fingerprints": _fingerprints,
     }
 
