@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from binroute.sources.scratch import materialize
 
@@ -202,14 +203,8 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, id_
     return found
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, class_id, class_size)`` for every row of ``docs``.
-
-    A class is a set of texts connected by links, and all rows with these texts;
-    its id is its least document id (null if all are null). Null and empty texts,
-    and texts of blanks, are alike: equal texts share a class, whatever their
-    length. Rows of equal id are told apart by text. No rows: no rows.
-    """
+def _classed(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Sketches of the rows, and ``(digest, class_id, class_size, kept)`` of the texts; one text per class is kept."""
     sketched = materialize(sketches(docs, id_col, text_col), "sketches")
     nodes = materialize(
         sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("copies")),
@@ -217,6 +212,38 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     )
     joined = components(links(docs, nodes, similarity, id_col, text_col)).withColumnsRenamed({"node": "digest", "class": "root"})
     rooted = nodes.select("digest", "rep", "copies").join(joined, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    named = rooted.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_text = materialize(rooted.select("digest", "root").join(named, "root").drop("root"), "classes")
+    least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest"))
+    named = rooted.groupBy("root").agg(least.alias("least"), F.sum("copies").alias("class_size"))
+    by_text = rooted.select("digest", "root").join(named, "root")
+    chosen = by_text.select("digest", F.col("least.rep").alias("class_id"), "class_size", (F.col("digest") == F.col("least.digest")).alias("kept"))
+    return sketched, materialize(chosen, "classes")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, class_id, class_size)`` for every row of ``docs``.
+
+    A class is a set of texts connected by links, and all rows with these texts;
+    its id is its least document id (null if all are null). Null and empty texts
+    are equal, and equal texts share a class, whatever their length. Rows of equal
+    id are told apart by text. No rows: no rows.
+    """
+    sketched, by_text = _classed(docs, similarity, id_col, text_col)
     return sketched.select("doc_id", "digest").join(by_text, "digest").select("doc_id", "class_id", "class_size")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class: that of its least id. Columns stay; of equal rows one stays."""
+    sketched, by_text = _classed(docs, similarity, id_col, text_col)
+    kept = sketched.join(by_text.where("kept").select(F.col("digest").alias("__digest"), "class_id"), F.col("digest") == F.col("__digest"))
+    kept = kept.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("__id"), "__digest").agg(F.count(F.lit(1)).alias("__rows"))
+    kept = materialize(kept, "kept")
+    marked = docs.withColumn("__text", digest(F.col(text_col)))
+    chosen = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest")))
+    if not kept.where("__rows > 1").isEmpty():
+        chosen = chosen.dropDuplicates(["__id", "__digest"])
+    return chosen.select(*docs.columns)
+
+
+@F.arrow_udf(T.BinaryType())
+def digest(column: pa.Array) -> pa.Array:
+    return pa.array(text_hashes(texts(column)), pa.binary())

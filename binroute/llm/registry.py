@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, conversations, language, licences, near_duplicates, oracles, packing, passages, resampling, rules
+from . import bpe, chunks, conversations, language, licences, near_duplicates, oracles, packing, passages, resampling, rules, workers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    workers.importable(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -79,8 +80,15 @@ def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.compare_with_edits(table(spark, sf, "documents"))
 
 
+def _pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": _pipeline,
         "op1_importance_resampling": _resampling,
         "op2_order_minhash": _near_duplicates,
         "op3_role_repair": _roles,

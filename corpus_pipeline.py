@@ -1 +1,68 @@
-"""The corpus pipeline: documents to packed training sequences, stage by stage."""
+"""The corpus pipeline: from documents to packed training sequences.
+
+Each stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of
+``documents``. Stages filter or edit what their predecessor kept:
+
+1. language: texts in none of the languages go;
+2. quality: texts that importance resampling does not choose go;
+3. near-duplicates: one document of each class stays;
+4. passages: repeated passages are cut from all but one text;
+5. packing: token pieces placed in sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from binroute.llm import language, near_duplicates, passages, registry, resampling, workers
+from binroute.sources.scratch import materialize
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    workers.importable(spark)
+    rows = language.document_evidence(docs)
+    found = language.identify(rows, language.fit(rows))
+    return found.where("kept").select(*docs.columns)
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    workers.importable(spark)
+    labels = registry.table(spark, sf_dir, "labels")
+    return resampling.fit(docs, labels, F.col("quality") == 1)[0].keep(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    workers.importable(spark)
+    return near_duplicates.keep_one(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts change, so ``n_chars`` is counted anew."""
+    workers.importable(spark)
+    return passages.remove(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    workers.importable(spark)
+    return registry.packed(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("quality", select_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("passages", cut_repeated_passages),
+    ("packing", pack_sequences),
+]
+
+#: Neither hashing, alignment nor packing can be written in SQL; tests compare with plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written and read again."""
+    docs = registry.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
