@@ -114,7 +114,7 @@ def with_next(docs: DataFrame, slices: int, id_col: str = "doc_id", text_col: st
     known = F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("known")
     ids = docs.select(known)
     cuts = ids.where(F.col("known") > lowest).stat.approxQuantile("known", [i / slices for i in range(1, slices)], 0.1 / slices) if slices > 1 else []
-    place = Bucketizer(splits=[-inf, *sorted(set(cuts)), inf], inputCol="at", outputCol="slice").transform
+    place = Bucketizer(splits=[-inf, *sorted({float(lowest), *cuts}), inf], inputCol="at", outputCol="slice").transform
     firsts = place(ids.withColumn("at", F.col("known").cast("double"))).groupBy("slice").agg(F.min("known").alias("first"))
     found = firsts.orderBy("slice").collect()
     heads = [(row["first"], found[at - 1]["slice"]) for at, row in enumerate(found)]

@@ -128,14 +128,15 @@ class Model:
         hosts' priors is left to Spark: broadcast if the written table is small,
         else a shuffle that adaptive execution can split at a hot host.
         """
-        classes = range(len(self.languages) + 1)
         total = log_likelihoods(self.table, F.col("__text")) if likelihoods is None else likelihoods
         joined = rows.withColumn("__fit", total).join(self.hosts, F.col("__host") == F.col("__host_name"), "left")
         parts = [F.coalesce(F.col("__prior"), F.lit(self.corpus))]
         for signal, values in self.signals.items():
-            for value, weights in values.items():
-                parts.append(F.when(F.col(f"__{signal}") == value, F.lit(weights)).otherwise(F.lit([0.0] * len(classes))))
-        sums = F.array(*[sum((F.get(p, i) for p in parts), F.get("__fit", i)) for i in classes])
+            known = F.map_from_arrays(F.lit([*values]), F.lit([*values.values()]))
+            parts.append(F.coalesce(F.try_element_at(known, F.col(f"__{signal}")), F.lit([0.0] * len(self.corpus))))
+        sums = F.col("__fit")
+        for part in parts:
+            sums = F.zip_with(sums, part, lambda x, y: x + y)
         scored = joined.withColumn("__sums", sums)
         top = F.array_max("__sums")
         weights = scored.withColumn("__odds", F.transform("__sums", lambda s: F.exp(s - top)))

@@ -65,8 +65,8 @@ FAMILIES = (*TEMPLATES, UNKNOWN)
 BUCKETS = 1 << 15
 #: Bound on the corpus paragraphs that stand for other text in training.
 BACKGROUND = 4_000
-#: Least share of a template's words, and at most this many paragraph words for each of them.
-CONFIRMED = 0.7
+#: Least share of a template's words that a paragraph must have.
+CONFIRMED = 0.6
 _WORD = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
 
 
@@ -139,14 +139,11 @@ class Scanner:
 def confirm(claimed: DataFrame) -> DataFrame:
     """Compare paragraphs with the templates of their family by shared words."""
     words = F.array_distinct(_words(F.col("text")))
-    compared = claimed.withColumn("__words", words)
-    share = F.lit(0.0)
-    for family, templates in TEMPLATES.items():
-        for template in templates:
-            own = F.lit(sorted({w for w in _template_words(template)}))
-            part = F.size(F.array_intersect(F.col("__words"), own)) / F.size(own)
-            share = F.greatest(share, F.when(F.col("family") == family, part).otherwise(0.0))
-    return compared.withColumn("template_share", F.round(share, 6)).withColumn("confirmed", F.col("template_share") >= CONFIRMED).drop("__words")
+    known = F.map_from_arrays(F.lit(list(TEMPLATES)), F.array(*[F.array(*[F.lit(sorted(set(_template_words(t)))) for t in own]) for own in TEMPLATES.values()]))
+    compared = claimed.withColumns({"__words": words, "__templates": F.element_at(known, F.col("family"))})
+    shares = F.transform("__templates", lambda own: F.size(F.array_intersect(F.col("__words"), own)) / F.size(own))
+    compared = compared.withColumn("template_share", F.round(F.array_max(shares), 6)).drop("__words", "__templates")
+    return compared.withColumn("confirmed", F.col("template_share") >= CONFIRMED)
 
 
 def _template_words(template: str) -> list[str]:

@@ -1,0 +1,64 @@
+import base64
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from conftest import ODD
+
+from binroute.llm import bpe
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def reference():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    return tiktoken.Encoding("reference", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def ids(raw):
+    return np.frombuffer(raw, "<u4").tolist()
+
+
+def test_ids_and_round_trip(texts, reference):
+    rows = bpe.decode(bpe.encode(texts(*ODD), PATH, public_tokenizers.PATTERN), PATH).collect()
+    assert len(rows) == len(ODD)
+    found = sorted((repr(r["doc_id"]), r["n_tokens"], ids(r["ids"]), bytes(r["decoded"])) for r in rows)
+    assert found == sorted((repr(i), len(reference.encode_ordinary(t or "")), reference.encode_ordinary(t or ""), (t or "").encode()) for i, t in ODD)
+
+
+def test_empty_table(texts, spark):
+    empty = texts((1, "x")).where("doc_id > 1")
+    assert bpe.decode(bpe.encode(empty, PATH, public_tokenizers.PATTERN), PATH).count() == 0
+
+
+def test_long_pre_tokens_and_random_strings(reference):
+    encoder = bpe.Encoder(bpe._ranks(bpe.read_ranks(PATH)), public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    rows = ["a" * 20000, "ab" * 7000, "".join(rng.choice("etaoinshr") for _ in range(20000))]
+    rows += ["".join(rng.choice("aab be\n1é漢") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    for _ in range(2):  # the second time from the cache
+        assert [ids(x) for x in encoder.encode(rows)] == [reference.encode_ordinary(row) for row in rows]
+
+
+def plain(piece, ranks):
+    """Merge the leftmost pair of the lowest rank until none is left."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks), default=None)
+        if best is None:
+            return [ranks[p] for p in parts]
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+
+def test_vocabulary_whose_ranks_fall_while_merging():
+    single = {bytes([b]): b for b in range(256)}
+    rng = random.Random(5)
+    for _ in range(200):
+        made = {bytes(rng.choices(b"abc", k=rng.randint(2, 4))) for _ in range(12)}
+        ranks = single | {token: 256 + i for i, token in enumerate(rng.sample(sorted(made), len(made)))}
+        encoder = bpe.Encoder(ranks, r"[a-c]+")
+        pieces = [bytes(rng.choices(b"abc", k=rng.randint(5, 12))) for _ in range(5)]
+        assert [ids(x) for x in encoder.merge(pieces)] == [plain(p, ranks) for p in pieces]

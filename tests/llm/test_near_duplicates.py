@@ -1,0 +1,116 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+from conftest import ODD, SF
+
+from binroute.llm import near_duplicates
+from binroute.llm.alignment import most_edits, within
+from binroute.llm.components import components
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_band_equals_the_whole_table():
+    rng = random.Random(1)
+    for _ in range(4000):
+        a = [rng.randint(0, 3) for _ in range(rng.randint(0, 16))]
+        b = [x for x in a if rng.random() > 0.15] if rng.random() < 0.5 else [rng.randint(0, 3) for _ in range(rng.randint(0, 16))]
+        most, true = rng.randint(0, 16), distance(a, b)
+        assert within(np.array(a, np.uint16), np.array(b, np.uint16), most) == (true if true <= most else None)
+
+
+def test_signatures_follow_order_and_occurrence():
+    rng = np.random.default_rng(0)
+    words = rng.integers(1, 1 << 60, 400).astype(np.uint64)
+    agree = lambda x, y: (near_duplicates.signature(x) == near_duplicates.signature(y)).mean()
+    changed = words.copy()
+    changed[200] = 5
+    assert agree(words, words) == 1 and agree(words, changed) > 0.6
+    swapped = np.concatenate([words[200:], words[:200]])
+    assert agree(words, swapped) < 0.5  # nearly the same k-mers in another order
+    twice = np.tile(words[:5], 3)
+    kmers = near_duplicates.labelled(near_duplicates.shingles(twice, 5))
+    assert len(set(kmers.tolist())) == len(kmers)
+    assert len(near_duplicates.signature(words[:0])) == 0 and len(near_duplicates.signature(words[:2])) == near_duplicates.TABLES
+
+
+def test_components(spark):
+    rng = random.Random(7)
+    links = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(i, i + 1) for i in range(200, 240)]
+    least = {n: n for link in links for n in link}
+    for _ in range(len(least)):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    found = components(spark.createDataFrame(links, "a long, b long"))
+    alone = {a for a, b in links if a == b} - {n for a, b in links if a != b for n in (a, b)}
+    assert {r["node"]: r["class"] for r in found.collect()} == {n: c for n, c in least.items() if n not in alone}
+
+
+def plain_classes(rows):
+    """Union of all pairs that share a window and align; equal texts belong together."""
+    words = [(text or "").split() for _, text in rows]
+    number = {}
+    coded = [np.array([number.setdefault(w, len(number)) for w in ws], np.uint32) for ws in words]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    seen = {}
+    for at, ws in enumerate(words):
+        for window in {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} | {(rows[at][1] or "",)}:
+            seen.setdefault(window, []).append(at)
+    for a, b in {pair for group in seen.values() for pair in itertools.combinations(group, 2)}:
+        same = (rows[a][1] or "") == (rows[b][1] or "")
+        if same or within(coded[a], coded[b], most_edits(len(coded[a]), len(coded[b]), 0.8)) is not None:
+            parent[find(a)] = find(b)
+    least = {}
+    for at, (doc, _) in enumerate(rows):
+        least[find(at)] = min(least.get(find(at), doc), doc)
+    return {doc: least[find(at)] for at, (doc, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_classes_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    expected = plain_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(docs).collect()} == expected
+
+
+def test_a_large_family_among_texts_with_one_passage(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    base, passage = [word() for _ in range(200)], [word() for _ in range(120)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(6):
+            own[rng.randrange(200)] = word()
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join([*passage, *(word() for _ in range(150))])) for i in range(150)]
+    found = {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == 0 for i in range(150)) and all(found[1000 + i] == 1000 + i for i in range(150))
+
+
+def test_odd_rows(texts):
+    rows = near_duplicates.classes(texts(*ODD)).collect()
+    assert len(rows) == len(ODD)
+    found = {r["doc_id"]: r["class_id"] for r in rows if r["doc_id"] is not None}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
+    assert sorted(str(r["class_id"]) for r in rows if r["doc_id"] is None) == ["1", "None"]
+    kept = near_duplicates.keep_one(texts(*ODD))
+    assert kept.columns == texts(*ODD).columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "7", "8", "None"]
+    nothing = texts((1, "x")).where("doc_id > 1")
+    assert near_duplicates.classes(nothing).count() == 0 and near_duplicates.keep_one(nothing).count() == 0
