@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .columns import field, slices, texts
 
 #: Pre-tokens kept with their ids, in each of two generations, and the longest kept.
-CACHED, CACHED_BYTES = 300_000, 64
+CACHED, CACHED_BYTES = 350_000, 64
 #: Pre-tokens merged in one buffer: few enough to stay in the processor's cache.
 TOGETHER = 2000
 
@@ -82,11 +82,12 @@ class Encoder:
         self.queue = RankQueue(max(ranks.values()))
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)])
         self.pairs = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
-        self.recent: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.whole = {token: np.uint32(rank).astype("<u4").tobytes() for token, rank in ranks.items()}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each pre-token."""
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, four bytes each."""
         if not pieces:
             return []
         rank_of, queue, buckets = self.ranks.get, self.queue, self.queue.buckets
@@ -147,16 +148,12 @@ class Encoder:
                         push(rank, rest)
                     break
         parts = np.array(ids)
-        left = np.cumsum(parts >= 0)[ends - 1]
-        parts = parts[parts >= 0].tolist()
-        out, start = [], 0
-        for piece, stop in zip(pieces, left.tolist(), strict=True):
-            whole = rank_of(piece)
-            out.append(tuple(parts[start:stop]) if whole is None else (whole,))
-            start = stop
-        return out
+        stops = (4 * np.cumsum(parts >= 0)[ends - 1]).tolist()
+        packed = parts[parts >= 0].astype("<u4").tobytes()
+        whole = self.whole.get  # a pre-token in the vocabulary is one id, whatever its merges
+        return [whole(piece) or packed[start:stop] for piece, start, stop in zip(pieces, [0, *stops], stops)]  # noqa: B905
 
-    def encode(self, rows: list[str]) -> list[np.ndarray]:
+    def encode(self, rows: list[str]) -> list[bytes]:
         """Ids of each text; pre-tokens seen of late are looked up."""
         split = [self.split(row) for row in rows]
         known = self.recent
@@ -167,7 +164,7 @@ class Encoder:
         for at in range(0, len(unknown), TOGETHER):
             some = unknown[at : at + TOGETHER]
             known.update(zip(some, self.merge([piece.encode() for piece in some]), strict=True))
-        out = [np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), "<u4") for pieces in split]
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
         for piece in unknown:
             if len(piece) > CACHED_BYTES:
                 del known[piece]
@@ -218,7 +215,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 for start, stop in slices(column):
                     ids = encoder.encode(column[start:stop].to_pylist())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0)[start:stop], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                        [batch.column(0)[start:stop], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                         names=[id_col, "n_tokens", "ids"],
                     )
         finally:

@@ -29,13 +29,16 @@ def field(df, name: str, alias: str | None = None):
 
 
 def texts(column: pa.Array) -> pa.Array:
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """A text column without nulls; nothing is copied if it has none."""
+    return pc.fill_null(column, "") if column.null_count else column
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column without nulls."""
     _, where, data = column.buffers()
-    bounds = np.frombuffer(where, np.int64, len(column) + 1 + column.offset)[column.offset :] if where else np.zeros(1, np.int64)
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    bounds = np.frombuffer(where, wide, len(column) + 1 + column.offset)[column.offset :] if where else np.zeros(1, np.int64)
+    bounds = bounds.astype(np.int64)
     if data is None or bounds[-1] == bounds[0]:
         return np.zeros(0, np.uint8), bounds - bounds[0]
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
@@ -132,4 +135,4 @@ def text_hashes(column: pa.Array) -> list[bytes]:
     """16-byte digests of whole texts; equal texts have equal digests."""
     import xxhash
 
-    return [xxhash.xxh3_128_digest(b) for b in column.cast(pa.large_binary()).to_pylist()]
+    return [xxhash.xxh3_128_digest(b) for b in column.cast(pa.binary()).to_pylist()]
