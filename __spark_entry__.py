@@ -27,10 +27,10 @@ from binroute.operators import (  # noqa: E402
     split,
 )
 from binroute.plans import training as plan  # noqa: E402
-from binroute.sources.readers import read_bin_csv  # noqa: E402
+from binroute.sources.readers import read_bin_csv, read_csv, read_dictionary_json, read_training_csv  # noqa: E402
 from binroute.sources.schemas import CATEGORICAL, FEATURES  # noqa: E402
 from binroute.sources.scratch import materialize, scratch_path  # noqa: E402
-from binroute.sources.writers import write_report_csv  # noqa: E402
+from binroute.sources.writers import write_dictionary_json, write_report_csv  # noqa: E402
 
 try:  # the text operators are an optional part: they may be absent
     import corpus_pipeline  # noqa: F401
@@ -50,7 +50,7 @@ NEEDED = ("status", "is_3d", "processor_name")
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return _ranked(spark, "/root/testdata/sf0.001")
+    return approval.by_rank(_ranked(spark, "/root/testdata/sf0.001"))
 
 
 # --- approval --------------------------------------------------------------------
@@ -66,7 +66,14 @@ def _all_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     txn, cards, _ = _inputs(spark, sf)
-    return approval.approval_rate_ranked(txn, cards, *WHOLE, bins=_all_bins(spark, sf))
+    return approval.approval_rate_ranked(txn, cards, *WHOLE)
+
+
+def _text_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """BINs that are no plain numbers, wanted through a frame."""
+    txn = fx.transactions(spark, sf)
+    wanted = spark.createDataFrame([(b,) for b in oracles.TEXT_BINS], "bin string")
+    return approval.by_rank(approval.approval_rate_ranked(txn, fx.lettered_customers(spark, sf), *WHOLE, bins=wanted))
 
 
 def _selected(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,34 +263,92 @@ def _routed(threshold: float) -> Query:
     return lambda spark, sf: routing.route_internal_first(scored(spark, sf), fx.EXTERNAL, threshold=threshold)
 
 
+def _fitted(spark: SparkSession, sf: str, class_weighted: bool, trees: int):
+    """A model of the training part, the prepared tables, and the weighted cells it has seen."""
+    ready = _prepared(spark, sf, require_success=class_weighted)
+    key = plan.content_key(["l_orderkey", "l_linenumber", "processor_name_encoded", "is_3d_encoded"])
+    parts = split.stratified_split(ready.rows, "success_flag", key)
+    cells = learning.training_cells(parts.where(~F.col("is_holdout")), key)
+    return learning.train(cells, class_weighted, trees), ready, cells
+
+
 def _gbt(class_weighted: bool, trees: int = C.TREES) -> Query:
-    """Train on the training part and score every candidate."""
+    """Train on the training part and score every candidate; each score is a probability."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        ready = _prepared(spark, sf, require_success=class_weighted)
-        key = plan.content_key(["l_orderkey", "l_linenumber", "processor_name_encoded", "is_3d_encoded"])
-        parts = split.stratified_split(ready.rows, "success_flag", key)
-        cells = learning.training_cells(parts.where(~F.col("is_holdout")))
-        model = learning.train(cells, class_weighted, trees)
+        model, ready, _ = _fitted(spark, sf, class_weighted, trees)
         flag = encoding.code_of(ready.encoder.dictionary, "is_3d", "t")
         rows = features.candidate_features(_candidate_bins(spark, sf), ready.stats, flag)
-        return learning.score(model, rows).select("bin", "processor_name_encoded", "score")
+        scored = learning.score(model, rows)
+        return scored.select("bin", "processor_name_encoded", F.col("score").between(0, 1).alias("is_probability"))
 
     return run
 
 
+def _training_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows, and whether the model gets more of them right than the commoner class has."""
+    model, _, cells = _fitted(spark, sf, class_weighted=False, trees=20)
+    share = F.sum(F.col("n") * F.col(learning.LABEL)) / F.sum("n")
+    counted = cells.agg(F.sum("n").alias("training_rows"), F.greatest(share, 1 - share).alias("floor"))
+    accuracy = learning.training_accuracy(model, cells).scalar()
+    return counted.select("training_rows", (accuracy >= F.col("floor")).alias("reaches_floor"))
+
+
+# --- files -----------------------------------------------------------------------
+
+
+def _training_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows with awkward texts, written as CSV and read back."""
+    kind, merchant = F.col("l_linenumber") % 5, F.col("merchant")
+    awkward = (
+        F.when(kind == 0, F.concat(F.lit('He said "hi", '), merchant))
+        .when(kind == 1, F.concat(F.lit("two\nlines, "), merchant))
+        .when(kind == 2, "NA")
+        .when(kind == 3, "")
+        .otherwise(F.concat(F.lit(" "), merchant, F.lit(" ")))
+    )
+    rows = _training(spark, sf).withColumn("merchant", awkward)
+    path = scratch_path(spark, "training-csv")
+    write_report_csv(rows.select("status", "l_orderkey", *[c for c in ("bin", *CATEGORICAL) if c != "status"]), path)
+    return read_training_csv(spark, path)
+
+
+def _dictionary_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The grown dictionary, one JSON file per column, read back."""
+    dictionary = materialize(_dictionary(spark, sf), "dictionary")
+    read = []
+    for column in CATEGORICAL:
+        path = scratch_path(spark, f"{column}-json")
+        write_dictionary_json(dictionary, path, column)
+        read.append(read_dictionary_json(spark, path, column))
+    whole = read[0]
+    for other in read[1:]:
+        whole = whole.unionByName(other)
+    return whole
+
+
+def _report_csv(spark: SparkSession, sf: str) -> DataFrame:
+    report = _report(spark, sf)
+    path = scratch_path(spark, "report-csv")
+    write_report_csv(report, path)
+    return read_csv(spark, path, one_line=True).select(*[F.col(f.name).cast(f.dataType) for f in report.schema])
+
+
 def queries() -> dict[str, Query]:
     return {
         # approval rates
-        "approval_rate_ranked": _ranked,
-        "approval_rate_selected": _selected,
+        "approval_rate_ranked": lambda s, d: approval.by_rank(_ranked(s, d)),
+        "approval_rate_selected": lambda s, d: approval.by_rank(_selected(s, d)),
+        "approval_rate_text_bins": _text_bins,
         "approval_rate_legacy": lambda s, d: approval.approval_rate_legacy(*_inputs(s, d)[:2], *YEAR),
-        "bin_processor_stats": lambda s, d: approval.bin_processor_stats(*_inputs(s, d), as_of=fx.AS_OF),
-        "bin_processor_stats_all": _stats_all,
-        "bin_processor_stats_legacy": lambda s, d: approval.bin_processor_stats_legacy(
-            *_inputs(s, d)[:2], as_of=WHOLE[0]
+        "bin_processor_stats": lambda s, d: approval.by_bin(
+            approval.bin_processor_stats(*_inputs(s, d), as_of=fx.AS_OF)
+        ),
+        "bin_processor_stats_all": lambda s, d: approval.by_bin(_stats_all(s, d)),
+        "bin_processor_stats_legacy": lambda s, d: approval.by_bin(
+            approval.bin_processor_stats_legacy(*_inputs(s, d)[:2], as_of=WHOLE[0])
         ),
-        "poor_pairs": lambda s, d: approval.poor_pairs(_stats_all(s, d), 5, 30.0),
+        "poor_pairs": lambda s, d: approval.worst_first(approval.poor_pairs(_stats_all(s, d), 5, 30.0)),
         "active_bins": lambda s, d: approval.active_bins(*_inputs(s, d), as_of=fx.AS_OF),
         "active_bins_legacy": lambda s, d: approval.active_bins_legacy(*_inputs(s, d)[:2], as_of=fx.AS_OF),
         "active_processors": lambda s, d: approval.active_processors(
@@ -312,7 +377,7 @@ def queries() -> dict[str, Query]:
         "processor_distribution": lambda s, d: _rounded(
             approval.processor_distribution(_report(s, d)), "Approval Rate (%)"
         ),
-        "external_counts": lambda s, d: approval.external_counts(_report(s, d)),
+        "external_counts": lambda s, d: approval.most_first(approval.external_counts(_report(s, d))),
         "internal_external_summary": lambda s, d: _rounded(
             approval.internal_external_summary(_report(s, d)), "avg_internal", "avg_external"
         ),
@@ -372,8 +437,14 @@ def queries() -> dict[str, Query]:
         "route_internal_first": _routed(C.ROUTING_THRESHOLD),
         "route_internal_first_low": _routed(0.40),
         "predicted_vs_actual": lambda s, d: routing.predicted_vs_actual(_top(s, d), _report(s, d)),
-        # learning (no SQL equivalent)
+        # learning
         "gbt_scores": _gbt(class_weighted=True),
+        "gbt_scores_unweighted": _gbt(class_weighted=False, trees=20),
+        "training_accuracy": _training_accuracy,
+        # files
+        "training_csv": _training_csv,
+        "dictionary_json": _dictionary_json,
+        "report_csv": _report_csv,
     } | (llm.queries() if llm else {})
 
 

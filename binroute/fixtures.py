@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from binroute.constants import ERROR_BLACKLIST
+
 AS_OF = "2001-06-15"
 EXTERNAL = ("EXT-0", "EXT-1")
 PROCESSOR_SEED = {"PROC-02": 0, "PROC-03": 1, "EXT-0": 4}
@@ -17,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _processor() -> Column:
     lane = F.col("l_suppkey") % 20
     return (
-        F.when(F.col("l_orderkey") < 3, F.concat(F.lit("RARE-"), (F.col("l_suppkey") % 3).cast("string")))
+        F.when(F.col("l_partkey") % 89 == 7, F.lit(None).cast("string"))
+        .when(F.col("l_orderkey") < 3, F.concat(F.lit("RARE-"), (F.col("l_suppkey") % 3).cast("string")))
         .when(lane < 2, F.concat(F.lit("EXT-"), lane.cast("string")))
         .otherwise(F.concat(F.lit("PROC-"), F.lpad(lane.cast("string"), 2, "0")))
     )
@@ -25,7 +28,8 @@ def _processor() -> Column:
 
 def _status() -> Column:
     return (
-        F.when((F.col("l_returnflag") == "A") & (F.col("o_custkey") % 7 != 0), "approved")
+        F.when(F.col("l_partkey") % 97 == 5, F.lit(None).cast("string"))
+        .when((F.col("l_returnflag") == "A") & (F.col("o_custkey") % 7 != 0), "approved")
         .when(F.col("l_returnflag") == "N", "filtered")
         .otherwise("declined")
     )
@@ -34,15 +38,14 @@ def _status() -> Column:
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    kind = F.col("l_partkey") % 10
+    kind = (F.col("l_partkey") % 100).cast("int")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("l_orderkey").alias("txid"),
         _processor().alias("processor_name"),
         _status().alias("status"),
-        F.when(kind == 0, "Expired card")
-        .when(kind == 1, "Insufficient funds")
-        .when(kind == 5, F.lit(None).cast("string"))
-        .when(kind == 6, "")
+        F.when(kind < len(ERROR_BLACKLIST), F.get(F.lit(list(ERROR_BLACKLIST)), kind))
+        .when(kind < 45, F.lit(None).cast("string"))
+        .when(kind < 55, "")
         .otherwise("Do not honor")
         .alias("error_description"),
         F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("created_datetime"),
@@ -51,15 +54,24 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("txid"),
-        F.concat(
-            (400000 + F.col("o_custkey") % 70).cast("string"),
-            F.lpad(F.col("o_orderkey").cast("string"), 10, "0"),
-        ).alias("card_no"),
+    """One card per payment, two for every ninth; every hundred-and-first card is too short."""
+    number = F.lpad(F.col("o_orderkey").cast("string"), 10, "0")
+    seconds = F.when(F.col("o_orderkey") % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    cards = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.explode(seconds).alias("nth"))
+    whole = F.concat((400000 + (F.col("o_custkey") + F.col("nth")) % 70).cast("string"), number)
+    return cards.select(
+        F.col("o_orderkey").alias("txid"), F.when(F.col("o_orderkey") % 101 == 0, "4000").otherwise(whole).alias("card_no")
     )
 
 
+def lettered_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards whose first six characters start with 0, hold letters, or are fewer than six."""
+    kind = F.col("o_custkey") % 4
+    start = F.when(kind == 0, "012345").when(kind == 1, "AB12CD").when(kind == 2, "40").otherwise("400001")
+    end = F.when(kind == 2, "").otherwise(F.lpad(F.col("o_orderkey").cast("string"), 10, "0"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("txid"), F.concat(start, end).alias("card_no"))
+
+
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows; the two line keys only serve ordering and are not unique."""
     lines = table(spark, sf_dir, "lineitem")
@@ -71,7 +83,7 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(holders, orders.o_custkey == holders.c_custkey)
         .where((F.col("o_custkey") % 70 + F.col("l_suppkey") % 20) % 11 != 0)
         .select(
-            (400000 + F.col("o_custkey") % 70).cast("long").alias("bin"),
+            F.when(F.col("o_custkey") % 71 != 3, 400000 + F.col("o_custkey") % 70).cast("long").alias("bin"),
             F.concat(F.lit("M-"), F.col("c_nationkey").cast("string")).alias("merchant"),
             F.when(F.col("l_partkey") % 17 == 0, F.lit(None).cast("string"))
             .otherwise(F.col("o_orderpriority"))

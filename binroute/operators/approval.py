@@ -12,6 +12,7 @@ from binroute.constants import ERROR_BLACKLIST, POOR_MAX_RATE, POOR_MIN_ATTEMPTS
 from binroute.functions import bin_of, exact_percent, strip
 from binroute.operators import attempts as att
 from binroute.operators import filters
+from binroute.sources.scratch import materialize
 
 
 # --- active BINs and processors --------------------------------------------------
@@ -21,7 +22,7 @@ def active_bins(attempts: DataFrame, customers: DataFrame, blacklist: DataFrame,
     """BINs with an attempt in the previous month that is not blacklisted."""
     recent = filters.drop_blacklisted_anti(filters.in_previous_month(attempts, as_of), blacklist)
     payments = recent.select("txid").distinct()
-    return att.card_bins(customers).join(payments, "txid", "left_semi").select("bin").distinct()
+    return att.cards_of(customers).join(payments, "txid", "left_semi").select("bin").distinct()
 
 
 def active_bins_legacy(
@@ -30,7 +31,7 @@ def active_bins_legacy(
     """As above with ``NOT IN``; a payment without a card yields a NULL BIN."""
     recent = filters.drop_blacklisted_not_in(filters.in_previous_month(attempts, as_of), errors)
     payments = recent.select("txid").distinct()
-    return payments.join(att.card_bins(customers), "txid", "left").select("bin").distinct()
+    return payments.join(att.cards_of(customers), "txid", "left").select("bin").distinct()
 
 
 def active_processors(attempts: DataFrame, blacklist: DataFrame, as_of=None) -> DataFrame:
@@ -47,14 +48,14 @@ def active_processors_legacy(attempts: DataFrame, errors: Sequence[str] = ERROR_
 
 
 def _rates(first: DataFrame, cards: DataFrame, processor: str, rate: str, digits: int) -> DataFrame:
-    """Sum counted first attempts over the cards of their payments."""
+    """Sum counted first attempts over the cards of their payments.
+
+    Raw rows meet in the join, which the adaptive skew join can split.
+    """
     counts = (
         first.join(cards, "txid")
         .groupBy("bin", F.col("processor_name").alias(processor))
-        .agg(
-            F.sum(F.col("total") * F.col("cards")).alias("total"),
-            F.sum(F.col("total_success") * F.col("cards")).alias("total_success"),
-        )
+        .agg(F.sum("total").alias("total"), F.sum("total_success").alias("total_success"))
     )
     return counts.withColumn(rate, exact_percent(F.col("total_success"), F.col("total"), digits))
 
@@ -70,7 +71,7 @@ def bin_processor_stats(
     """
     flagged = filters.flag_blacklisted(filters.in_trailing_month(attempts, as_of), blacklist)
     first = att.first_attempt_counts(flagged)
-    return _rates(first, att.card_bins(customers), "processor_name", "approval_rate", 4).orderBy(F.desc("bin"))
+    return _rates(first, att.cards_of(customers), "processor_name", "approval_rate", 4)
 
 
 def bin_processor_stats_legacy(
@@ -83,23 +84,19 @@ def bin_processor_stats_legacy(
     recent = filters.in_trailing_month(attempts, as_of)
     flagged = recent.withColumn("blacklisted", ~filters.not_in_blacklist(errors))
     first = att.first_attempt_counts(flagged)
-    return _rates(first, att.card_bins(customers), "processor_name", "approval_rate", 4).orderBy(F.desc("bin"))
+    return _rates(first, att.cards_of(customers), "processor_name", "approval_rate", 4)
 
 
 def poor_pairs(
     stats: DataFrame, min_attempts: int = POOR_MIN_ATTEMPTS, max_rate: float = POOR_MAX_RATE
 ) -> DataFrame:
     """Pairs with enough attempts and a low rate; a NULL rate is never poor."""
-    return (
-        stats.where((F.col("approval_rate") <= max_rate) & (F.col("total") >= min_attempts))
-        .select(
-            "bin",
-            "processor_name",
-            "total",
-            "total_success",
-            F.col("approval_rate").alias("approval_rate_percent"),
-        )
-        .orderBy("approval_rate_percent")
+    return stats.where((F.col("approval_rate") <= max_rate) & (F.col("total") >= min_attempts)).select(
+        "bin",
+        "processor_name",
+        "total",
+        "total_success",
+        F.col("approval_rate").alias("approval_rate_percent"),
     )
 
 
@@ -112,26 +109,19 @@ def _rank(rates: DataFrame) -> DataFrame:
     return rates.withColumn("rnk", F.dense_rank().over(by_rate).cast("long"))
 
 
-def _listed_cards(customers: DataFrame, bins: DataFrame | Sequence[str] | None) -> DataFrame:
-    """Cards of the wanted BINs, filtered before they are grouped.
+def _listed_cards(customers: DataFrame, bins: DataFrame | Sequence | None) -> DataFrame:
+    """Cards of the wanted BINs; a list and a frame with the same values give the same.
 
-    A frame of BINs holds numbers, as BIN input yields them; a literal list may
-    hold any text.
+    BINs are compared as text, numbers in their shortest form. Wanted BINs and
+    the cards found are written, so joins know their sizes.
     """
+    cards = att.cards_of(customers)
     if bins is None:
-        return att.card_bins(customers)
-    bin_col = bin_of(F.col("card_no"))
-    if isinstance(bins, DataFrame):
-        wanted = (
-            bins.select(F.col("bin").try_cast("long").alias("bin"))
-            .where(F.col("bin").between(0, 999_999))
-            .distinct()
-            .select(F.col("bin").cast("string").alias("bin"))
-        )
-        named = customers.withColumn("bin", bin_col)
-        # Broadcast bound: a BIN is a number below one million, each once.
-        return att.card_bins(named.join(F.broadcast(wanted), "bin", "left_semi"))
-    return att.card_bins(customers.where(bin_col.isin(*[str(b) for b in bins])))
+        return cards
+    if not isinstance(bins, DataFrame):
+        return materialize(cards.where(F.col("bin").isin(*[str(b) for b in bins])), "cards")
+    wanted = bins.select(F.col("bin").cast("string").alias("bin")).where(F.col("bin").isNotNull()).distinct()
+    return materialize(cards.join(materialize(wanted, "bins"), "bin", "left_semi"), "cards")
 
 
 def approval_rate_ranked(
@@ -154,7 +144,7 @@ def approval_rate_ranked(
     if bins is not None:
         # First attempts are found per payment, so payments of other BINs can go
         # before any attempt is shuffled for that purpose.
-        usable = usable.join(cards.select("txid"), "txid", "left_semi")
+        usable = usable.join(cards, "txid", "left_semi")
     first = att.first_attempt_per_processor(usable)
     if processors is not None:
         first = first.where(F.col("processor_name").isin(*processors))
@@ -164,7 +154,7 @@ def approval_rate_ranked(
         att.is_decided().cast("long").alias("total"),
         att.is_approved().cast("long").alias("total_success"),
     ).na.fill(0, ["total", "total_success"])
-    return _rank(_rates(counted, cards, "processor", "ar", 3)).orderBy("bin", "rnk")
+    return _rank(_rates(counted, cards, "processor", "ar", 3))
 
 
 def approval_rate_legacy(
@@ -183,24 +173,46 @@ def approval_rate_legacy(
     """
     cards = _listed_cards(customers, bins)
     if bins is not None:
-        attempts = attempts.join(cards.select("txid"), "txid", "left_semi")
+        attempts = attempts.join(cards, "txid", "left_semi")
     usable = filters.drop_blacklisted_not_in(filters.in_date_range(attempts, start, end), errors)
     moments = att.first_times(usable).withColumnRenamed("first_transaction_datetime", "created_datetime")
-    counts = (
+    # Raw attempts meet the moments first: the rest of the history is not shuffled for the counts.
+    first = (
         attempts.where(F.col("processor_name").isNotNull())
-        .groupBy("txid", "created_datetime", "processor_name")
+        .join(moments, ["txid", "created_datetime"])
+        .groupBy("txid", "processor_name")
         .agg(F.count_if(att.is_decided()).alias("total"), F.count_if(att.is_approved()).alias("total_success"))
     )
-    first = counts.join(moments, ["txid", "created_datetime"])
     return _rank(_rates(first, cards, "processor", "ar", 3))
 
 
+# --- orders of the results ---------------------------------------------------------
+# Results are sets; these put them in the order in which they are shown.
+
+
+def by_rank(ranked: DataFrame) -> DataFrame:
+    return ranked.orderBy("bin", "rnk")
+
+
+def by_bin(stats: DataFrame) -> DataFrame:
+    return stats.orderBy(F.desc("bin"))
+
+
+def worst_first(pairs: DataFrame) -> DataFrame:
+    return pairs.orderBy("approval_rate_percent")
+
+
+def most_first(counts: DataFrame) -> DataFrame:
+    return counts.orderBy(F.desc("Count"))
+
+
 # --- report on the ranking -------------------------------------------------------
 
 
 def report_ranked(ranked: DataFrame, external: Sequence[str]) -> DataFrame:
     """The ranking under report names, with NULLs filled after ranking."""
     return (
+        # The names of the report.
         ranked.withColumnsRenamed(
             {
                 "bin": "BIN",
@@ -232,12 +244,7 @@ def processor_distribution(report: DataFrame) -> DataFrame:
 
 
 def external_counts(report: DataFrame) -> DataFrame:
-    return (
-        report.where(F.col("Fallback External") == "Yes")
-        .groupBy("Processor")
-        .agg(F.count("*").alias("Count"))
-        .orderBy(F.desc("Count"))
-    )
+    return report.where(F.col("Fallback External") == "Yes").groupBy("Processor").agg(F.count("*").alias("Count"))
 
 
 def internal_external_summary(report: DataFrame) -> DataFrame:

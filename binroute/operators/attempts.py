@@ -32,11 +32,12 @@ def first_times(attempts: DataFrame) -> DataFrame:
 def keep_first(rows: DataFrame) -> DataFrame:
     """Rows at the first non-NULL moment of their payment, ties kept.
 
-    For rows already grouped by payment, moment and processor.
+    For rows already grouped by payment, moment and processor. Rows without a
+    payment number belong to no payment.
     """
     by_time = Window.partitionBy("txid").orderBy("created_datetime")
     return (
-        rows.where(F.col("created_datetime").isNotNull())
+        rows.where(F.col("created_datetime").isNotNull() & F.col("txid").isNotNull())
         .withColumn("_rank", F.rank().over(by_time))
         .where(F.col("_rank") == 1)
         .drop("_rank")
@@ -85,13 +86,11 @@ def first_attempt_counts(flagged: DataFrame) -> DataFrame:
     return keep_first(per_moment).where(F.col("attempts") > 0)
 
 
-def card_bins(customers: DataFrame) -> DataFrame:
-    """Number of cards per payment and BIN, so that a join on ``txid`` multiplies
-    counts instead of rows."""
-    return customers.groupBy("txid", bin_of(F.col("card_no")).alias("bin")).agg(F.count("*").alias("cards"))
+def cards_of(customers: DataFrame) -> DataFrame:
+    """Payment and BIN of each card."""
+    return customers.select("txid", bin_of(F.col("card_no")).alias("bin"))
 
 
 def txn_with_bin(attempts: DataFrame, customers: DataFrame) -> DataFrame:
     """Each attempt with the BIN of each card of its payment (may fan out)."""
-    cards = customers.select("txid", bin_of(F.col("card_no")).alias("bin"))
-    return attempts.join(cards, "txid").select("txid", "bin", "processor_name", "status")
+    return attempts.join(cards_of(customers), "txid").select("txid", "bin", "processor_name", "status")

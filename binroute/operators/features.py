@@ -117,22 +117,25 @@ def fit_stats(
     what is left decides which processors are frequent enough. Without it
     (notebook order) only rare processors are dropped.
     """
-    # Windows over pairs, not rows: a BIN meets each processor once, and a
-    # processor each BIN, of which there are fewer than a million.
-    by_bin, by_processor = Window.partitionBy("bin"), Window.partitionBy("processor_name_encoded")
+    written = materialize(pairs, "pairs")
     if require_success:
-        pairs = pairs.withColumn("_success", F.sum("success").over(by_bin)).where(F.col("_success") > 0)
-    frequent = pairs.withColumns(
-        {"_proc_tx": F.sum("tx").over(by_processor), "_proc_success": F.sum("success").over(by_processor)}
-    ).where(F.col("_proc_tx") >= min_processor_rows)
-    summed = frequent.withColumns({"_bin_tx": F.sum("tx").over(by_bin), "_bin_success": F.sum("success").over(by_bin)})
+        written = written.join(successful_bins(written), "bin", "left_semi")
+    processors = (
+        written.groupBy("processor_name_encoded")
+        .agg(F.sum("tx").alias("_tx"), F.sum("success").alias("_success"))
+        .where(F.col("_tx") >= min_processor_rows)
+        .select("processor_name_encoded", (F.col("_success") / F.col("_tx")).alias("processor_success_rate"))
+    )
+    frequent = written.join(processors, "processor_name_encoded")
+    bins = frequent.groupBy("bin").agg(F.sum("tx").alias("bin_tx_count"), F.sum("success").alias("_success"))
+    per_bin = bins.select("bin", "bin_tx_count", (F.col("_success") / F.col("bin_tx_count")).alias("bin_success_rate"))
     return Stats(
         materialize(
-            summed.select(
+            frequent.join(per_bin, "bin").select(
                 *PAIR,
-                F.col("_bin_tx").alias("bin_tx_count"),
-                (F.col("_bin_success") / F.col("_bin_tx")).alias("bin_success_rate"),
-                (F.col("_proc_success") / F.col("_proc_tx")).alias("processor_success_rate"),
+                "bin_tx_count",
+                "bin_success_rate",
+                "processor_success_rate",
                 F.col("tx").alias("bin_processor_tx_count"),
                 F.col("success").alias("bin_processor_success_count"),
                 (F.col("success") / F.col("tx")).alias("bin_processor_success_rate"),
@@ -152,15 +155,16 @@ def training_features(rows: DataFrame, stats: Stats) -> DataFrame:
     return rows.join(stats.pairs, PAIR).na.fill(0)
 
 
-def candidate_pairs(bins: DataFrame, processors: DataFrame, lanes: int = 16) -> DataFrame:
+def candidate_pairs(bins: DataFrame, processors: DataFrame, bins_per_lane: int = 4096) -> DataFrame:
     """Every BIN with every processor, as an equi-join on a lane number.
 
-    Each BIN goes to all lanes, each processor to one, so the pairs are spread
-    over lanes and either side may exceed the memory of a task.
+    There is a lane for so many BINs. Each BIN lies in one lane, and the
+    processors, of which there are fewer, are copied to all.
     """
-    spread = bins.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    placed = processors.withColumn("lane", F.pmod(F.hash("processor_name_encoded"), F.lit(lanes)))
-    return spread.join(placed, "lane").drop("lane")
+    lanes = 1 + bins.count() // bins_per_lane
+    placed = bins.withColumn("lane", F.pmod(F.xxhash64("bin"), F.lit(lanes)).cast("int"))
+    spread = processors.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    return placed.join(spread, "lane").drop("lane")
 
 
 def candidate_features(bins: DataFrame, stats: Stats, is_3d: Column | int) -> DataFrame:
@@ -206,7 +210,7 @@ def _candidates(bins: DataFrame, stats: Stats) -> DataFrame:
     """Pairs with BIN, processor and pair statistics, NULL where unknown."""
     wanted = bins.select(F.col("bin").cast("long").alias("bin")).distinct()
     per_bin = stats.bin_tx.join(stats.bin_success, "bin")
-    with_bin = wanted.join(per_bin, "bin", "left")
+    with_bin = materialize(wanted.join(per_bin, "bin", "left"), "candidate-bins")
     return candidate_pairs(with_bin, stats.proc_success).join(stats.bin_proc_stats, PAIR, "left")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from binroute.constants import ERROR_BLACKLIST
 from binroute.functions import month_window, strip, trailing_month
-from binroute.sources.scratch import materialize
 
 
 def in_previous_month(attempts: DataFrame, as_of: date | str | None = None) -> DataFrame:
@@ -46,13 +45,11 @@ def drop_blacklisted_anti(attempts: DataFrame, blacklist: DataFrame) -> DataFram
 def flag_blacklisted(attempts: DataFrame, blacklist: DataFrame) -> DataFrame:
     """Mark instead of drop; a NULL error is not blacklisted.
 
-    The distinct list is written: its size is then known for a broadcast, and
-    beyond that the skew join can split frequent errors, which it could not
-    next to an aggregate.
+    Spark decides by the list's size whether to broadcast it. The rebalance
+    parts the join from the aggregate, next to which frequent errors could not
+    be split.
     """
-    listed = materialize(blacklist.select("error_description").distinct(), "blacklist").withColumn(
-        "_listed", F.lit(True)
-    )
+    listed = blacklist.select("error_description").distinct().hint("rebalance").withColumn("_listed", F.lit(True))
     return (
         attempts.join(listed, "error_description", "left")
         .withColumn("blacklisted", F.coalesce("_listed", F.lit(False)))

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binroute.constants import LEARNING_RATE, SAMPLING, SEED, TREE_DEPTH, TREES
@@ -17,7 +17,7 @@ from binroute.sources.scratch import materialize
 LABEL = "success_flag"
 
 
-def training_cells(rows: DataFrame, shards: int = 32) -> DataFrame:
+def training_cells(rows: DataFrame, key: Column, shards: int = 32) -> DataFrame:
     """Equal training rows as weighted ones: features, label, ``n``.
 
     All features are functions of BIN, processor and the 3-D flag, so however
@@ -26,16 +26,15 @@ def training_cells(rows: DataFrame, shards: int = 32) -> DataFrame:
     parts, so that row sampling per tree still takes a share of a heavy cell
     and not all or nothing of it.
 
-    ``rows`` should be read from files: the part comes from a row's position.
+    The part comes from ``key``, a hash of the row's content, and the cells are
+    written in an order of their own: the files that rows lie in do not matter.
     """
-    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))
-    cells = (
-        rows.select(*FEATURES, LABEL, part.alias("_part"))
-        .groupBy(*FEATURES, LABEL, "_part")
-        .agg(F.count("*").alias("n"))
-        .drop("_part")
-    )
-    return materialize(cells, "cells")
+    part = F.pmod(key, F.lit(shards)).cast("int")
+    names = [*FEATURES, LABEL]
+    cells = rows.select(*names, part.alias("_part")).groupBy(*names, "_part").agg(F.count("*").alias("n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cells.repartition(parts, *names, "_part").sortWithinPartitions(*names, "_part")
+    return materialize(placed.drop("_part"), "cells")
 
 
 def train(

@@ -3,7 +3,7 @@
 A global order per class would put a third or more of all rows into one task.
 Instead the position that ends the hold-out is searched digit by digit: counts
 per leading digits of the order key, then per trailing digits among the rows
-that share the leading ones, then row identities among equal keys.
+that share the leading ones, then the other columns among equal keys.
 """
 
 from __future__ import annotations
@@ -62,49 +62,48 @@ def stratified_split(
     """Add ``is_holdout``: the ``quota`` smallest rows of each class by key.
 
     ``order_key`` is a whole number in [0, 2^32), a hash of the row's content.
-    Rows with equal keys are told apart by file and row number of the written
-    copy, so the shares are exact however many copies a row has.
+    Rows with the key at the cut are ordered by their other columns; copies of
+    one row are interchangeable, so the result does not depend on files or
+    partitions. ``rows`` is counted once by the leading digits of the key and
+    read once for the rows that share the cut's digits; it is not written.
     """
-    kept = materialize(rows.withColumn("_key", order_key.cast("long")), "split").withColumns(
-        {
-            "_high": F.shiftright("_key", DIGIT_BITS),
-            "_low": F.col("_key").bitwiseAND(DIGIT),
-            "_file": F.col("_metadata.file_name"),
-            "_row": F.col("_metadata.row_index"),
-        }
+    keyed = rows.withColumn("_key", order_key.cast("long")).withColumn("_high", F.shiftright("_key", DIGIT_BITS))
+    # The counts per digit are written: at most 2^16 rows per class, and read more than once.
+    high = materialize(keyed.groupBy(label, "_high").agg(F.count("*").alias("n")), "high")
+    quotas = materialize(class_quotas(high, label, fraction), "quotas")
+    at_high = materialize(_cut(high.join(quotas, label), label, "_high"), "cut-high")
+    cut_high = at_high.select(label, F.col("_high").alias("_cut_high"), F.col("need").alias("quota"))
+
+    # Rows with the cut's leading digits, equal ones counted: about one in 2^16.
+    inside = keyed.join(cut_high, label).where(F.col("_high") == F.col("_cut_high"))
+    near = materialize(inside.groupBy(*rows.columns, "_key", "quota").agg(F.count("*").alias("copies")), "near-cut")
+    low = near.groupBy(label, "quota", "_key").agg(F.sum("copies").alias("n"))
+    at_low = materialize(_cut(low, label, "_key").withColumnRenamed("_key", "_cut_key"), "cut")
+    judged = near.join(at_low, label)
+    # Different rows with exactly the last key: usually one per class.
+    equal = judged.where(F.col("_key") == F.col("_cut_key"))
+    placed = running_totals(equal, [F.col(c) for c in rows.columns if c != label], {"reached": "copies"}, within=[label])
+    held = F.greatest(F.least(F.col("need") - F.col("reached") + F.col("copies"), F.col("copies")), F.lit(0))
+    clear = judged.where(F.col("_key") != F.col("_cut_key")).withColumn(
+        "held", F.when(F.col("_key") < F.col("_cut_key"), F.col("copies")).otherwise(0)
     )
-    # Every broadcast below holds one row per class. The counts per digit are
-    # written: at most 2^16 rows per class, and read more than once.
-    high = materialize(kept.groupBy(label, "_high").agg(F.count("*").alias("n")), "high")
-    quotas = F.broadcast(class_quotas(high, label, fraction))
-    at_high = F.broadcast(_cut(high.join(quotas, label), label, "_high").withColumnRenamed("need", "quota"))
-    low = kept.join(at_high, [label, "_high"]).groupBy(label, "_high", "_low", "quota").agg(F.count("*").alias("n"))
-    at_low = materialize(_cut_low(materialize(low, "low"), label), "cut")
-    # Rows with exactly the last key: usually one per class.
-    equal = kept.join(F.broadcast(at_low), [label, "_key"]).select(
-        label, "_file", "_row", "need", F.lit(1).alias("one")
+    counted = clear.select(*rows.columns, "copies", "held").unionByName(
+        placed.select(*rows.columns, "copies", held.alias("held"))
     )
-    placed = running_totals(equal, [F.col("_file"), F.col("_row")], {"position": "one"}, within=[label])
-    last = placed.where(F.col("position") == F.col("need")).select(
-        label, F.col("_file").alias("_last_file"), F.col("_row").alias("_last_row")
-    )
-    cut = F.broadcast(at_low.withColumnRenamed("_key", "_last_key").join(F.broadcast(last), label))
 
-    before = (F.col("_file") < F.col("_last_file")) | (
-        (F.col("_file") == F.col("_last_file")) & (F.col("_row") <= F.col("_last_row"))
-    )
-    chosen = (F.col("_key") < F.col("_last_key")) | ((F.col("_key") == F.col("_last_key")) & before)
+    outside = keyed.join(cut_high, label, "left").where(F.coalesce(F.col("_high") != F.col("_cut_high"), F.lit(True)))
     # A class with an empty quota has no cut and stays in training.
-    return kept.join(cut, label, "left").select(*rows.columns, F.coalesce(chosen, F.lit(False)).alias("is_holdout"))
+    chosen = F.coalesce(F.col("_high") < F.col("_cut_high"), F.lit(False))
+    return outside.select(*rows.columns, chosen.alias("is_holdout")).unionByName(_copies(counted, rows.columns))
 
 
-def _cut_low(low: DataFrame, label: str) -> DataFrame:
-    high = low.select(label, "_high").distinct()
-    return (
-        _cut(low, label, "_low")
-        .join(F.broadcast(high), label)
-        .select(label, (F.shiftleft("_high", DIGIT_BITS) + F.col("_low")).alias("_key"), "need")
-    )
+def _copies(counted: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row as often as it was counted, the first ``held`` of them in the hold-out."""
+    last = F.floor((F.col("copies") - 1) / DIGIT)
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    left = F.least(F.col("copies") - F.col("_block") * DIGIT, F.lit(DIGIT).cast("long"))
+    each = blocks.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), left)))
+    return each.select(*columns, (F.col("_block") * DIGIT + F.col("_nth") <= F.col("held")).alias("is_holdout"))
 
 
 def class_ratio(split: DataFrame, label: str) -> DataFrame:

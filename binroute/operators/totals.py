@@ -42,8 +42,8 @@ def running_totals(
     )
 
     inside = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # Broadcast bound: one row per slice and group that meets it (see above).
-    joined = sliced.join(F.broadcast(offsets), ["_slice", *keys])
+    # Written, so that Spark knows its size: one row per slice and group that meets it.
+    joined = sliced.join(materialize(offsets, "offsets"), ["_slice", *keys])
     return joined.select(
         *[F.col(c) for c in rows.columns],
         *[

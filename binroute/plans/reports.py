@@ -25,7 +25,7 @@ class RankingReport:
 
     @property
     def external_counts(self) -> DataFrame:
-        return approval.external_counts(self.rows)
+        return approval.most_first(approval.external_counts(self.rows))
 
     @property
     def internal_external_summary(self) -> DataFrame:
@@ -57,7 +57,7 @@ class PairStats:
     rows: DataFrame
 
     def poor(self, min_attempts: int, max_rate: float) -> DataFrame:
-        return approval.poor_pairs(self.rows, min_attempts, max_rate)
+        return approval.worst_first(approval.poor_pairs(self.rows, min_attempts, max_rate))
 
 
 def pair_stats(

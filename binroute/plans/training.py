@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binroute.constants import HOLDOUT_FRACTION, MIN_PROCESSOR_ROWS, SCORES_PER_BIN, TREES
@@ -110,13 +110,13 @@ def retrain(
     key = content_key([c for c in ready.rows.columns if c not in FEATURES[4:]])
     base = ["processor_name_encoded", learning.LABEL, *FEATURES[:4]]
     keyed = ready.rows.select(*base, *FEATURES[4:], key.alias("order_key"))
-    parts = split.stratified_split(keyed, learning.LABEL, F.col("order_key"), fraction).drop("order_key")
+    parts = split.stratified_split(keyed, learning.LABEL, F.col("order_key"), fraction)
     stats = ready.stats
     if stats_from == "train":
         kept = parts.where(~F.col("is_holdout")).select(*base)
         stats = features.fit_stats(features.pair_counts(kept), require_success)
-        parts = _reattach(parts.select(*base, "is_holdout"), stats)
-    cells = learning.training_cells(parts.where(~F.col("is_holdout")))
+        parts = _reattach(parts.select(*base, "order_key", "is_holdout"), stats)
+    cells = learning.training_cells(parts.where(~F.col("is_holdout")), F.col("order_key"))
     model = learning.train(cells, class_weighted, trees)
     scored = learning.score(model, parts.where("is_holdout"))
     holdout = materialize(
@@ -136,12 +136,16 @@ def _reattach(rows: DataFrame, stats: features.Stats) -> DataFrame:
     return joined.na.fill(0)
 
 
+def run_summary(spark: SparkSession, accuracy: float, old_accuracy: float = 0.0) -> DataFrame:
+    """One row: hold-out accuracy of the new model, and of the old one.
+
+    The old accuracy is a constant 0: the replaced model is not measured.
+    """
+    return spark.createDataFrame([(old_accuracy, accuracy)], "old_accuracy double, new_accuracy double")
+
+
 def run_message(accuracy: float, old_accuracy: float = 0.0) -> str:
-    """The old accuracy is a constant 0: the replaced model is not measured."""
-    return (
-        f"Old Accuracy: {old_accuracy * 100:.2f}%, New Accuracy: {accuracy * 100:.2f}%"
-        "\n[SUCCESS] Model replaced with a fresh retrained model."
-    )
+    return f"hold-out accuracy {accuracy:.2%}, before {old_accuracy:.2%}; the new model is in use"
 
 
 def retrain_and_publish(training: DataFrame, base: str, seed: DataFrame | None = None, **options) -> Trained:
@@ -154,10 +158,10 @@ def retrain_and_publish(training: DataFrame, base: str, seed: DataFrame | None =
     existing = writers.load_dictionary(spark, base, previous) if previous or seed is None else seed
     done = retrain(training, existing, **options)
     run_ts = writers.new_run_ts()
-    writers.save_dictionary(done.encoder.dictionary, base, run_ts, previous)
+    dictionary_run = writers.save_dictionary(done.encoder.dictionary, base, run_ts, previous)
     writers.save_stats(done.stats, base, run_ts)
     writers.save_model(done.model, base, run_ts)
-    writers.publish(spark, base, run_ts, done.accuracy, done.message)
+    writers.publish(spark, base, run_ts, done.accuracy, done.message, dictionary_run)
     return done
 
 

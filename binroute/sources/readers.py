@@ -15,6 +15,7 @@ from binroute.sources import schemas
 
 # Texts that a CSV cell without a value may hold.
 CSV_NULLS = (
+    "",
     "#N/A",
     "#N/A N/A",
     "#NA",
@@ -67,19 +68,26 @@ def read_jdbc(
     return spark.read.format("jdbc").options(**options, **dict(properties or {})).load()
 
 
-def _csv_columns(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the header, with every column read as text."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+def read_csv(spark: SparkSession, path: str, one_line: bool) -> DataFrame:
+    """All columns of CSV files as text, read exactly or not at all.
+
+    Quotes are doubled inside quoted fields. A row with more or fewer fields than
+    the header, and a file whose header differs from the first file's, raise.
+    Quoted fields may hold line breaks; files without any can be read with
+    ``one_line``, which lets Spark split them.
+    """
+    options = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "multiLine": not one_line}
+    names = spark.read.options(**options, inferSchema=False).csv(path).columns
+    text = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    return spark.read.schema(text).options(**options, mode="FAILFAST", enforceSchema=False).csv(path)
 
 
-def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_training_csv(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
     """Training rows from CSV with a header; columns in any order, others ignored."""
-    header = _csv_columns(spark, path)
-    missing = [c for c in schemas.TRAINING.names if c not in header]
+    rows = read_csv(spark, path, one_line)
+    missing = [c for c in schemas.TRAINING.names if c not in rows.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
-    text = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    rows = spark.read.schema(text).option("header", True).option("encoding", "UTF-8").csv(path)
     valued = rows.select(
         *[F.when(~F.col(c).isin(*CSV_NULLS), F.col(c)).alias(c) for c in schemas.TRAINING.names]
     )
@@ -87,22 +95,29 @@ def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
     return valued.withColumn("bin", F.col("bin").cast("double").cast("long"))
 
 
-def read_bin_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_bin_csv(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
     """Tokens and BINs of the column ``BIN`` of a CSV file."""
-    header = _csv_columns(spark, path)
-    if "BIN" not in header:
-        raise ValueError("CSV must contain a 'BIN' column.")
-    text = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    return bins_from_column(spark.read.schema(text).option("header", True).csv(path), "BIN")
+    rows = read_csv(spark, path, one_line)
+    if "BIN" not in rows.columns:
+        raise ValueError(f"{path} has no column BIN")
+    return bins_from_column(rows, "BIN")
 
 
 def read_dictionary_json(spark: SparkSession, path: str, column_name: str) -> DataFrame:
-    """One JSON object ``{category: code}``; a missing file is an empty dictionary."""
+    """One JSON object ``{category: code}``; a missing file is an empty dictionary.
+
+    Anything else than such an object raises when the dictionary is read.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schemas.DICTIONARY)
-    entries = F.from_json("value", "map<string,int>")
-    return spark.read.text(path, wholetext=True).select(
-        F.lit(column_name).alias("column_name"), F.explode(entries).alias("category", "code")
+    entries = F.from_json("value", "map<string,int>", {"mode": "FAILFAST"})
+    broken = F.raise_error(F.lit(f"{path} is not an object of categories and codes"))
+    codes = F.coalesce(entries, broken.cast("map<string,int>"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(codes).alias("category", "code"))
+    return rows.select(
+        F.lit(column_name).alias("column_name"),
+        "category",
+        F.coalesce("code", F.raise_error(F.concat(F.lit("no code for "), "category")).cast("int")).alias("code"),
     )
 
 

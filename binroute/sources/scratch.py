@@ -16,15 +16,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one set by ``setCheckpointDir`` goes first.
+
+    A cluster must name a folder that all its machines share. In local mode,
+    where one machine does all, a temporary folder stands in.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="binroute-")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+    chosen = spark.sparkContext.getCheckpointDir()
+    if configured and (not chosen or chosen.startswith(configured.rstrip("/"))):
+        chosen = configured
+    if spark.sparkContext.master.startswith("local"):
+        if not chosen:
+            chosen = tempfile.mkdtemp(prefix="binroute-")
+            spark.sparkContext.setCheckpointDir(chosen)
+    elif not chosen or chosen.startswith(f"file:{tempfile.gettempdir()}"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share, not to {chosen}")
+    return chosen.rstrip("/")
+
+
+def remove_scratch(spark: SparkSession) -> bool:
+    """Delete what this application has written; for the end of a run, when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/binroute/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

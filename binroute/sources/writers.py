@@ -18,11 +18,22 @@ from binroute.operators.features import Stats
 from binroute.sources import schemas
 from binroute.sources.readers import path_exists
 
-RUNS = "run_ts string, accuracy double, message string"
+RUNS = "run_ts string, accuracy double, message string, dictionary_run string"
 
 
 def write_report_csv(report: DataFrame, path: str) -> None:
-    report.write.option("header", True).csv(path)
+    """CSV with a header; quotes are doubled, blanks around values are kept."""
+    report.write.options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+
+
+def write_dictionary_json(dictionary: DataFrame, path: str, column_name: str) -> None:
+    """The categories of one column as one JSON object, which is the file's format."""
+    codes = dictionary.where(F.col("column_name") == column_name).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "code")))).alias("codes")
+    )
+    codes.select(F.to_json("codes")).coalesce(1).write.text(path)
 
 
 def new_run_ts() -> str:
@@ -53,8 +64,8 @@ def load_dictionary(spark: SparkSession, base: str, run_ts: str | None) -> DataF
 
 
 def latest_dictionary_run(spark: SparkSession, base: str) -> str | None:
-    """The newest written dictionary among published runs."""
-    return _newest(spark, base, "dictionary")
+    """The run whose dictionary the last published run uses."""
+    return runs(spark, base).agg(F.max_by("dictionary_run", "run_ts")).first()[0]
 
 
 def save_stats(stats: Stats, base: str, run_ts: str) -> None:
@@ -73,8 +84,10 @@ def load_model(base: str, run_ts: str) -> PipelineModel:
     return PipelineModel.load(_at(base, "model", run_ts))
 
 
-def publish(spark: SparkSession, base: str, run_ts: str, accuracy: float, message: str) -> None:
-    line = spark.createDataFrame([(run_ts, accuracy, message)], RUNS)
+def publish(
+    spark: SparkSession, base: str, run_ts: str, accuracy: float, message: str, dictionary_run: str
+) -> None:
+    line = spark.createDataFrame([(run_ts, accuracy, message, dictionary_run)], RUNS)
     line.coalesce(1).write.mode("append").parquet(f"{base.rstrip('/')}/runs")
 
 
@@ -89,12 +102,6 @@ def latest_run(spark: SparkSession, base: str) -> str | None:
     return runs(spark, base).agg(F.max("run_ts")).first()[0]
 
 
-def _newest(spark: SparkSession, base: str, kind: str) -> str | None:
-    folder = f"{base.rstrip('/')}/{kind}"
-    published = [row.run_ts for row in runs(spark, base).select("run_ts").orderBy(F.desc("run_ts")).toLocalIterator()]
-    return next((run for run in published if path_exists(spark, f"{folder}/run_ts={run}")), None)
-
-
 @dataclass(frozen=True)
 class Artifacts:
     model: PipelineModel

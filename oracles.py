@@ -15,26 +15,26 @@ def _text(value: str) -> str:
 ERRORS = ", ".join(_text(e) for e in ERROR_BLACKLIST)
 EXTERNALS = ", ".join(_text(e) for e in EXTERNAL)
 
-PROC = """CASE WHEN l_orderkey < 3 THEN concat('RARE-', CAST(l_suppkey % 3 AS VARCHAR))
+PROC = """CASE WHEN l_partkey % 89 = 7 THEN NULL WHEN l_orderkey < 3 THEN concat('RARE-', CAST(l_suppkey % 3 AS VARCHAR))
      WHEN l_suppkey % 20 < 2 THEN concat('EXT-', CAST(l_suppkey % 20 AS VARCHAR))
      ELSE concat('PROC-', lpad(CAST(l_suppkey % 20 AS VARCHAR), 2, '0')) END"""
-STAT = """CASE WHEN l_returnflag = 'A' AND o_custkey % 7 <> 0 THEN 'approved'
+STAT = """CASE WHEN l_partkey % 97 = 5 THEN NULL WHEN l_returnflag = 'A' AND o_custkey % 7 <> 0 THEN 'approved'
      WHEN l_returnflag = 'N' THEN 'filtered' ELSE 'declined' END"""
 
 TRANSACTIONS = f"""transactions AS (
   SELECT l_orderkey AS txid, {PROC} AS processor_name, {STAT} AS status,
-         CASE l_partkey % 10 WHEN 0 THEN 'Expired card' WHEN 1 THEN 'Insufficient funds'
-              WHEN 5 THEN NULL WHEN 6 THEN '' ELSE 'Do not honor' END AS error_description,
+         CASE WHEN l_partkey % 100 < {len(ERROR_BLACKLIST)} THEN ([{ERRORS}])[l_partkey % 100 + 1]
+              WHEN l_partkey % 100 < 45 THEN NULL WHEN l_partkey % 100 < 55 THEN '' ELSE 'Do not honor' END AS error_description,
          CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS created_datetime,
          CAST(l_shipdate AS DATE) AS created_date
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 CARDS = """card_customers AS (
-  SELECT o_orderkey AS txid,
-         concat(CAST(400000 + o_custkey % 70 AS VARCHAR), lpad(CAST(o_orderkey AS VARCHAR), 10, '0')) AS card_no
-  FROM orders)"""
+  SELECT o_orderkey AS txid, CASE WHEN o_orderkey % 101 = 0 THEN '4000' ELSE
+         concat(CAST(400000 + (o_custkey + nth) % 70 AS VARCHAR), lpad(CAST(o_orderkey AS VARCHAR), 10, '0')) END AS card_no
+  FROM orders CROSS JOIN (VALUES (0), (1)) v(nth) WHERE nth = 0 OR o_orderkey % 9 = 0)"""
 BLACKLIST = f"error_blacklist AS (SELECT unnest([{ERRORS}]) AS error_description)"
 TRAINING = f"""training AS (
-  SELECT CAST(400000 + o_custkey % 70 AS BIGINT) AS bin, concat('M-', CAST(c_nationkey AS VARCHAR)) AS merchant,
+  SELECT CASE WHEN o_custkey % 71 <> 3 THEN CAST(400000 + o_custkey % 70 AS BIGINT) END AS bin, concat('M-', CAST(c_nationkey AS VARCHAR)) AS merchant,
          CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE o_orderpriority END AS card_type, {STAT} AS status,
          CASE WHEN l_linestatus = 'F' THEN 'f' ELSE 't' END AS is_3d,
          CASE l_linenumber % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' ELSE 'GBP' END AS currency,
@@ -122,6 +122,11 @@ WHOLE = ("1995-01-01", "2001-12-31")
 YEAR = ("2000-01-01", "2000-12-31")
 SELECTED = "'400001', '400002', '400003', '400007'"
 
+TEXT_BINS = ("012345", "AB12CD", "40")
+LETTERED = """card_customers AS (
+  SELECT o_orderkey AS txid, concat(CASE o_custkey % 4 WHEN 0 THEN '012345' WHEN 1 THEN 'AB12CD' WHEN 2 THEN '40' ELSE '400001' END,
+    CASE WHEN o_custkey % 4 = 2 THEN '' ELSE lpad(CAST(o_orderkey AS VARCHAR), 10, '0') END) AS card_no FROM orders)"""
+
 REPORT = (
     *_ranked(*WHOLE),
     f"""report AS (SELECT CAST(CAST(bin AS BIGINT) AS VARCHAR) AS "BIN", trim(processor) AS "Processor",
@@ -365,6 +370,10 @@ def oracle_sql() -> dict[str, str]:
         # approval rates
         "approval_rate_ranked": _with(*_ranked(*WHOLE)) + ranked_columns,
         "approval_rate_selected": _with(*_ranked(*YEAR, SELECTED)) + ranked_columns,
+        "approval_rate_text_bins": _with(
+            *[LETTERED if part is CARDS else part for part in _ranked(*WHOLE, ", ".join(map(_text, TEXT_BINS)))]
+        )
+        + ranked_columns,
         "approval_rate_legacy": _with(*_legacy_ranked()) + ranked_columns,
         "bin_processor_stats": _with(*_bin_stats(AS_OF)) + stats_columns,
         "bin_processor_stats_all": _with(*_bin_stats(WHOLE[0])) + stats_columns,
@@ -495,6 +504,20 @@ def oracle_sql() -> dict[str, str]:
     UNION ALL SELECT 'macro avg', AVG(precision), AVG(recall), AVG(f1), SUM(support) FROM classes
     UNION ALL SELECT 'weighted avg', SUM(precision * support) / SUM(support), SUM(recall * support) / SUM(support),
       SUM(f1 * support) / SUM(support), SUM(support) FROM classes)""",
+        # learning
+        "gbt_scores": _with(*CANDIDATES) + "SELECT bin, processor_name_encoded, TRUE AS is_probability FROM candidates",
+        "gbt_scores_unweighted": _with(*NOTEBOOK, CARDS, BINS)
+        + "SELECT b.bin, p.processor_name_encoded, TRUE AS is_probability FROM bins b CROSS JOIN proc_success p",
+        "training_accuracy": _with(*NOTEBOOK)
+        + "SELECT CAST(COUNT(*) - CEIL(0.2::DOUBLE * COUNT(*)) AS BIGINT) AS training_rows, TRUE AS reaches_floor "
+        "FROM features",
+        # files
+        "training_csv": _with(TRAINING)
+        + "SELECT bin, CASE l_linenumber % 5 WHEN 0 THEN concat('He said \"hi\", ', merchant) "
+        "WHEN 1 THEN concat('two', chr(10), 'lines, ', merchant) WHEN 4 THEN concat(' ', merchant, ' ') END AS merchant, "
+        "card_type, status, is_3d, currency, processor_name, project_name FROM training",
+        "dictionary_json": _with(*DICTIONARY) + "SELECT column_name, category, code FROM dictionary",
+        "report_csv": _with(*REPORT) + "SELECT * FROM report",
         # routing
         "top_processors": _with(*CANDIDATES, _SCORED_CANDIDATES, TOP)
         + 'SELECT * REPLACE (CAST("BIN" AS BIGINT) AS "BIN") FROM top',
