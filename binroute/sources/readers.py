@@ -73,6 +73,7 @@ def read_csv(spark: SparkSession, path: str, one_line: bool) -> DataFrame:
 
     Quotes are doubled inside quoted fields. A row with more or fewer fields than
     the header, and a file whose header differs from the first file's, raise.
+    An empty text is NULL, quoted or not.
     Quoted fields may hold line breaks; files without any can be read with
     ``one_line``, which lets Spark split them.
     """

@@ -9,12 +9,18 @@ aggregate has no such size: its estimate is that of the data below it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _plain(path: str) -> str:
+    """A path without the ways to write a local one differently."""
+    return re.sub("^file:/+", "/", path).rstrip("/")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; one set by ``setCheckpointDir`` goes first.
 
@@ -23,13 +29,13 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     chosen = spark.sparkContext.getCheckpointDir()
-    if configured and (not chosen or chosen.startswith(configured.rstrip("/"))):
+    if configured and (not chosen or _plain(chosen).startswith(_plain(configured))):
         chosen = configured
     if spark.sparkContext.master.startswith("local"):
         if not chosen:
             chosen = tempfile.mkdtemp(prefix="binroute-")
             spark.sparkContext.setCheckpointDir(chosen)
-    elif not chosen or chosen.startswith(f"file:{tempfile.gettempdir()}"):
+    elif not chosen or _plain(chosen).startswith(tempfile.gettempdir()):
         raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share, not to {chosen}")
     return chosen.rstrip("/")
 

@@ -113,6 +113,33 @@ def test_bin_and_processor_restrictions(spark, attempts, customers):
     assert tuples(approval.approval_rate_ranked(rows, cards, *JANUARY, bins=[])) == []
 
 
+def test_bins_are_compared_as_text(spark, attempts, customers):
+    rows = attempts(*[(i, "A", OK, HONOR, NOON) for i in range(1, 5)])
+    cards = customers((1, "01234567"), (2, "AB12CD9"), (3, "40"), (4, "4000011"))
+    wanted = ["012345", "AB12CD", "40", None, "12345"]
+    frame = spark.createDataFrame([(b,) for b in wanted], "bin string")
+    listed = approval.approval_rate_ranked(rows, cards, *JANUARY, bins=wanted[:3])
+    assert tuples(listed, "bin") == [("012345",), ("40",), ("AB12CD",)]
+    assert tuples(approval.approval_rate_ranked(rows, cards, *JANUARY, bins=frame)) == tuples(listed)
+    assert tuples(approval.approval_rate_legacy(rows, cards, *JANUARY, bins=frame)) == tuples(listed)
+
+
+def test_attempts_without_a_payment_are_left_out(attempts):
+    rows = attempts((None, "A", OK, HONOR, NOON), (1, "A", OK, HONOR, NOON))
+    assert tuples(att.first_attempt_per_processor(rows), "txid") == [(1,)]
+    assert tuples(att.first_attempts(rows), "txid") == [(1,)]
+
+
+def test_orders(spark):
+    rows = spark.createDataFrame([("2", 1, None), ("1", 2, 5.0), ("1", 1, 7.0), ("3", 1, 9.0)], "bin string, rnk long, ar double")
+    assert [(r.bin, r.rnk) for r in approval.by_rank(rows).collect()] == [("1", 1), ("1", 2), ("2", 1), ("3", 1)]
+    assert [r.bin for r in approval.by_bin(rows.select("bin").distinct()).collect()] == ["3", "2", "1"]
+    poor = rows.withColumnRenamed("ar", "approval_rate_percent")
+    assert [r.approval_rate_percent for r in approval.worst_first(poor).collect()] == [None, 5.0, 7.0, 9.0]
+    counts = rows.withColumnRenamed("rnk", "Count")
+    assert approval.most_first(counts).first()["Count"] == 2
+
+
 def test_legacy_counts_blacklisted_attempts_at_the_first_moment(attempts, customers):
     rows = attempts(
         (1, "A", BAD, "Expired card", NOON),

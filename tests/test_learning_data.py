@@ -192,6 +192,17 @@ def test_split_is_exact_even_with_many_copies(spark, hot):
         assert chosen == sorted(d[2] for d in data if d[1] == label)[: size - train[label]]
 
 
+def test_split_does_not_depend_on_files(spark, tmp_path):
+    rows = [(i % 50, i % 2, 7) for i in range(700)]  # one key for all rows, each row several times
+    found = []
+    for files in (1, 7):
+        path = str(tmp_path / str(files))
+        spark.createDataFrame(rows, "id int, label int, k long").repartition(files).write.parquet(path)
+        found.append(tuples(split.stratified_split(spark.read.parquet(path), "label", F.col("k"))))
+    assert found[0] == found[1] and sum(r[3] for r in found[0]) == 140
+    assert sorted(r[:3] for r in found[0]) == sorted(rows)
+
+
 def test_quotas_of_very_large_classes(spark):
     counts = spark.createDataFrame([(0, 6 * 10**12 + 3), (1, 4 * 10**12 + 1)], "label int, n long")
     n, test = 10**13 + 4, 2 * 10**12 + 1

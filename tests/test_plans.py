@@ -36,6 +36,28 @@ def test_attempts_are_grouped_and_limited_before_the_window(spark, capsys):
         assert "HashAggregate(keys=[txid" in plan[partial:]
 
 
+@pytest.mark.parametrize("name", ["internal_external_summary", "processor_distribution", "report_reranked"])
+def test_no_order_below_an_aggregate(spark, capsys, name):
+    assert "rangepartitioning" not in plan_of(entry.queries()[name](spark, SF), capsys)
+
+
+def test_cards_are_read_once_and_not_counted(spark, capsys):
+    plan = plan_of(entry.queries()["approval_rate_ranked"](spark, SF), capsys)
+    assert plan.count("FileScan parquet") == 3  # line items, orders, cards
+    plan = plan_of(entry.queries()["active_bins"](spark, SF), capsys)
+    assert "count(" not in plan
+
+
+def test_legacy_ranking_joins_before_it_groups(spark, capsys):
+    plan = plan_of(entry.queries()["approval_rate_legacy"](spark, SF), capsys)
+    grouped = plan.index("keys=[txid", plan.index("partial_count_if") if "partial_count_if" in plan else 0)
+    assert "created_datetime" in plan[plan.index("Join", grouped) : plan.index("Join", grouped) + 200]
+
+
+def test_statistics_use_no_window(spark, capsys):
+    assert "Window" not in plan_of(entry.queries()["bin_proc_stats"](spark, SF), capsys)
+
+
 def test_dictionary_joins_are_broadcast_by_size(spark, capsys):
     plan = plan_of(entry.queries()["encode_all"](spark, SF), capsys)
     assert plan.count("BroadcastHashJoin [coalesce(") + plan.count("LeftOuter, BuildRight") >= 7

@@ -102,7 +102,6 @@ def test_raw_ties(data, frames):
 def test_hot_payment_is_small_before_any_window(frames):
     flagged = frames[0].withColumn("blacklisted", F.lit(False))
     assert att.first_attempt_counts(flagged).where("txid = 0").count() <= 4
-    assert att.card_bins(frames[1]).where("txid = 0").count() <= 5
 
 
 SMALL_SKEW = {
@@ -159,7 +158,10 @@ def test_every_join_on_raw_rows_can_split_a_hot_key(spark, small_skew, capsys):
     assert splits(att.first_attempts(rows), capsys)
     assert splits(filters.drop_blacklisted_anti(rows, listed), capsys)
     assert splits(filters.flag_blacklisted(rows, listed), capsys)
-    assert splits(rows.join(att.card_bins(cards).select("txid"), "txid", "left_semi"), capsys)
+    assert splits(rows.join(att.cards_of(cards), "txid", "left_semi"), capsys)
+    many_cards = hot_rows(spark, {"txid": (0, F.col("id"))}).withColumn("card_no", F.col("payload").cast("string"))
+    payments = spark.range(0, 100_000, 1, 16).select(F.col("id").alias("txid"), F.lit("P").alias("processor_name"))
+    assert splits(payments.join(att.cards_of(many_cards), "txid"), capsys)
 
     training = hot_rows(
         spark,
@@ -194,8 +196,8 @@ def test_results_do_not_depend_on_broadcasts(spark, data, frames):
 def test_candidates_are_complete_for_any_number_of_lanes(spark):
     bins = spark.range(50).select(F.col("id").alias("bin"))
     processors = spark.range(37).select(F.col("id").cast("int").alias("processor_name_encoded"))
-    for lanes in (1, 16, 64):
-        pairs = features.candidate_pairs(bins, processors, lanes)
+    for bins_per_lane in (1, 7, 4096):
+        pairs = features.candidate_pairs(bins, processors, bins_per_lane)
         assert pairs.count() == pairs.distinct().count() == 50 * 37
 
 
