@@ -25,20 +25,24 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return pointed.where("a <> b").distinct()
 
 
+def _is_forest_of_stars(links: DataFrame) -> bool:
+    """Whether every node either points to one other or is pointed to."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    counted = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counted.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, class)`` for every node of the links ``(a, b)``; the class is its least node.
 
     Steps are grouped minima and joins, so a node with very many links is summed
     up before it is shuffled, and its join can be split. Each step is written to
-    the shared folder. Ends when a round changes nothing.
+    the shared folder. Ends when every node points straight to its class.
     """
     now = materialize(links.where("a <> b").select("a", "b").distinct(), "links")
-    seen = None
-    while True:
+    while not _is_forest_of_stars(now):
         now = materialize(_star(_star(now, large=True), large=False), "links")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
-        if state == seen:
-            break
-        seen = state
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("class"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(roots)

@@ -97,7 +97,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, digest, words)``: words as 32-bit hashes, four bytes each."""
+    """``(doc_id, digest, words)``: words as 16-bit hashes; two different words look alike once in 65536."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,7 @@ def _sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for start, stop in slices(column):
                 part = column[start:stop]
                 found = runs(part)
-                small = (found.hashes >> np.uint64(32)).astype("<u4")
+                small = (found.hashes >> np.uint64(48)).astype("<u2")
                 rows = [small[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[start:stop], pa.array(text_hashes(part), pa.binary()), pa.array(rows, pa.binary())],
@@ -124,7 +124,7 @@ def _aligned(pairs: DataFrame, similarity: float) -> DataFrame:
             left, right = batch.column(2), batch.column(3)
             good = []
             for row in range(len(batch)):
-                a, b = np.frombuffer(left[row].as_py(), "<u4"), np.frombuffer(right[row].as_py(), "<u4")
+                a, b = np.frombuffer(left[row].as_py(), "<u2"), np.frombuffer(right[row].as_py(), "<u2")
                 good.append(within(a, b, most_edits(len(a), len(b), similarity)) is not None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -136,11 +136,17 @@ def _alike_length(similarity: float) -> F.Column:
     return longer - shorter <= longer * (1 - similarity) + 1e-9
 
 
-def _led(members: DataFrame, bucket: str, order: F.Column, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of each member of a bucket with the first and the last in order, of fit length."""
-    node = F.struct(order.alias("order"), "digest", "n_words", "class")
-    leaders = members.groupBy(bucket).agg(F.min(node).alias("first"), F.max(node).alias("last")).where("first.class <> last.class")
-    met = members.join(leaders, bucket).select("digest", "n_words", "class", F.explode(F.array("first", "last")).alias("leader"))
+def _ends(orders: list[F.Column]) -> list[F.Column]:
+    """The first and last node of a group in each order."""
+    nodes = [F.struct(order.alias("order"), "digest", "n_words", "class") for order in orders]
+    return [end(node).alias(f"{name}{i}") for i, node in enumerate(nodes) for end, name in ((F.min, "first"), (F.max, "last"))]
+
+
+def _led(members: DataFrame, orders: list[F.Column], similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of each member of a bucket with its leaders of other classes, of fit length."""
+    leaders = members.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), *_ends(orders)).where("x <> y")
+    ends = [F.col(f"{name}{i}") for i in range(len(orders)) for name in ("first", "last")]
+    met = members.join(leaders, "bucket").select("digest", "n_words", "class", F.explode(F.array_distinct(F.array(*ends))).alias("leader"))
     pairs = met.where(F.col("class") != F.col("leader.class")).select(
         F.greatest("digest", "leader.digest").alias("a"), F.least("digest", "leader.digest").alias("b"),
         F.col("n_words").alias("n_a"), F.col("leader.n_words").alias("n_b"),
@@ -148,55 +154,67 @@ def _led(members: DataFrame, bucket: str, order: F.Column, similarity: float) ->
     return pairs.where(_alike_length(similarity)).select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that align. Only texts in pairs are read again, each once."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(nodes.select("digest", "rep"), "digest")
-    texts_of = _sequences(docs, id_col, text_col).join(
-        wanted.select(F.col("digest").alias("__d"), F.col("rep").alias("__r")),
-        (F.col("digest") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__r")),
-    )
-    texts_of = materialize(texts_of.select("digest", "words").dropDuplicates(["digest"]), "sequences")
-    a = texts_of.select(F.col("digest").alias("a"), F.col("words").alias("words_a"))
-    b = texts_of.select(F.col("digest").alias("b"), F.col("words").alias("words_b"))
+def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that align. Words of other texts are put aside first, by a broadcast if the pairs are few."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "wanted")
+    some = words.join(wanted, "digest", "left_semi")
+    a = some.select(F.col("digest").alias("a"), F.col("words").alias("words_a"))
+    b = some.select(F.col("digest").alias("b"), F.col("words").alias("words_b"))
     return materialize(_aligned(pairs.join(a, "a").join(b, "b"), similarity), "links")
 
 
-def _two_tables(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold several classes, by agreement in two tables at most three apart."""
+def _shared(nodes: DataFrame) -> DataFrame:
+    """``(table, bucket, digest, n_words)`` of buckets that hold more than one text."""
+    spread = nodes.select("digest", "n_words", F.posexplode("signature").alias("table", "value"))
+    members = spread.select("table", F.xxhash64("table", "value").alias("bucket"), "digest", "n_words")
+    name = F.xxhash64("digest")
+    several = members.groupBy("bucket").agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x <> y").select("bucket")
+    return materialize(members.join(several, "bucket", "left_semi"), "shared-buckets")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes."""
     mixed = members.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket")
-    rows = members.join(mixed, "bucket", "left_semi")
-    seats = rows.groupBy("digest", "n_words", "class").agg(F.collect_list(F.struct("table", "bucket")).alias("seats"))  # one per table at most
+    return members.join(mixed, "bucket", "left_semi")
+
+
+def _two_tables(members: DataFrame) -> DataFrame:
+    """Members by agreement in two tables at most three apart."""
+    seats = members.groupBy("digest", "n_words", "class").agg(F.collect_list(F.struct("table", "bucket")).alias("seats"))  # one per table at most
     one = seats.select("digest", "n_words", "class", "seats", F.explode("seats").alias("one"))
     two = one.select("digest", "n_words", "class", "one", F.explode("seats").alias("two"))
     apart = F.pmod(F.col("two.table") - F.col("one.table"), F.lit(TABLES))
-    crowd = two.where(apart.between(1, 3)).select(F.xxhash64("one.bucket", "two.bucket").alias("bucket"), "digest", "n_words", "class")
-    return crowd
+    return two.where(apart.between(1, 3)).select(F.xxhash64("one.bucket", "two.bucket").alias("bucket"), "digest", "n_words", "class")
 
 
 def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified links ``(a, b)`` between different texts, by digest, that connect each class.
 
     ``nodes`` has one row per different text: ``digest, rep, n_words, signature``.
+    Texts are read again once, and only those in shared buckets are kept aside.
     """
-    spread = nodes.select("digest", "n_words", F.posexplode("signature").alias("table", "value"))
-    members = spread.select("table", F.xxhash64("table", "value").alias("bucket"), "digest", "n_words")
-    tried = materialize(_led(members.withColumn("class", F.col("digest")), "bucket", F.lit(0), similarity), "candidates")
-    found = _verified(tried, docs, nodes, similarity, id_col, text_col)
+    members = _shared(nodes)
+    met = members.select("digest").distinct().join(nodes.select("digest", "rep"), "digest").withColumnsRenamed({"digest": "__d", "rep": "__r"})
+    words = _sequences(docs, id_col, text_col).join(met, (F.col("digest") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__r")))
+    words = materialize(words.select("digest", "doc_id", "words").dropDuplicates(["digest", "doc_id"]).select("digest", "words"), "words")
+    tried = materialize(_led(members.withColumn("class", F.col("digest")), [F.lit(0)], similarity), "candidates")
+    found = _verified(tried, words, similarity)
     turn = 0
     while not found.isEmpty():
         turn += 1
         known = components(found).withColumnsRenamed({"node": "digest", "class": "root"})
-        classed = members.join(known, "digest", "left").withColumn("class", F.coalesce("root", "digest")).drop("root")
-        crowd = _two_tables(classed)
-        # Two members speak for a class in a bucket; others do in other buckets and rounds.
-        place = F.xxhash64("bucket", "digest", F.lit(turn))
-        node = F.struct(place.alias("order"), "digest", "n_words")
-        pair = crowd.groupBy("bucket", "class").agg(F.min(node).alias("first"), F.max(node).alias("last"))
-        speakers = pair.select("bucket", "class", F.explode(F.array_distinct(F.array("first", "last"))).alias("one")).select(
-            "bucket", "class", "one.digest", "one.n_words", "one.order"
-        )
-        pairs = materialize(_led(speakers, "bucket", F.col("order"), similarity).join(tried, ["a", "b"], "left_anti"), "candidates")
-        fresh = _verified(pairs, docs, nodes, similarity, id_col, text_col)
+        found = known.where("digest <> root").select(F.col("digest").alias("a"), F.col("root").alias("b"))
+        classed = members.drop("class").join(known, "digest", "left").withColumn("class", F.coalesce("root", "digest")).drop("root")
+        members = materialize(_mixed(classed), "mixed-buckets")
+        crowd = _two_tables(members)
+        # Four members at most speak for a class in a bucket; others do in other buckets and rounds.
+        orders = [F.xxhash64("bucket", "digest", F.lit(salt)) for salt in (2 * turn, 2 * turn + 1)]
+        ends = crowd.groupBy("bucket", "class").agg(*_ends(orders))
+        names = [c for c in ends.columns if c not in ("bucket", "class")]
+        speakers = ends.select("bucket", F.explode(F.array(*[F.struct(f"{c}.digest", f"{c}.n_words", f"{c}.class") for c in names])).alias("one"))
+        speakers = speakers.select("bucket", "one.*").distinct()
+        pairs = materialize(_led(speakers, orders, similarity).join(tried, ["a", "b"], "left_anti"), "candidates")
+        fresh = _verified(pairs, words, similarity)
         if fresh.isEmpty():
             break
         found, tried = found.unionByName(fresh), tried.unionByName(pairs)
