@@ -187,38 +187,51 @@ def _two_tables(members: DataFrame) -> DataFrame:
     return two.where(apart.between(1, 3)).select(F.xxhash64("one.bucket", "two.bucket").alias("bucket"), "digest", "n_words", "class")
 
 
+def _speakers(members: DataFrame, orders: list[F.Column]) -> DataFrame:
+    """At most four members of each class in a bucket; others speak in other buckets and rounds."""
+    ends = members.groupBy("bucket", "class").agg(*_ends(orders))
+    names = [c for c in ends.columns if c not in ("bucket", "class")]
+    each = F.array_distinct(F.array(*[F.struct(f"{c}.digest", f"{c}.n_words") for c in names]))
+    return ends.select("bucket", "class", F.explode(each).alias("one")).select("bucket", "class", "one.*")
+
+
 def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified links ``(a, b)`` between different texts, by digest, that connect each class.
+    """Links ``(a, b)`` between different texts, by digest, that connect each class.
 
     ``nodes`` has one row per different text: ``digest, rep, n_words, signature``.
     Texts are read again once, and only those in shared buckets are kept aside.
+    After the first round only buckets with several classes are looked at, and
+    classes are renamed by a small table, so that later rounds are short.
     """
     members = _shared(nodes)
     met = members.select("digest").distinct().join(nodes.select("digest", "rep"), "digest").withColumnsRenamed({"digest": "__d", "rep": "__r"})
     words = _sequences(docs, id_col, text_col).join(met, (F.col("digest") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__r")))
     words = materialize(words.select("digest", "doc_id", "words").dropDuplicates(["digest", "doc_id"]).select("digest", "words"), "words")
-    tried = materialize(_led(members.withColumn("class", F.col("digest")), [F.lit(0)], similarity), "candidates")
-    found = _verified(tried, words, similarity)
+    pairs = materialize(_led(members.withColumn("class", F.col("digest")), [F.lit(0)], similarity), "candidates")
+    fresh = _verified(pairs, words, similarity)
+    found = materialize(components(fresh), "classes").where("node <> class").select(F.col("node").alias("a"), F.col("class").alias("b"))
+    known = found.select(F.col("a").alias("digest"), F.col("b").alias("root"))
+    classed = members.join(known, "digest", "left").withColumn("class", F.coalesce("root", "digest")).drop("root")
+    crowd = materialize(_mixed(_two_tables(_mixed(classed))), "crowd")
     turn = 0
-    while not found.isEmpty():
+    while True:
         turn += 1
-        known = components(found).withColumnsRenamed({"node": "digest", "class": "root"})
-        found = known.where("digest <> root").select(F.col("digest").alias("a"), F.col("root").alias("b"))
-        classed = members.drop("class").join(known, "digest", "left").withColumn("class", F.coalesce("root", "digest")).drop("root")
-        members = materialize(_mixed(classed), "mixed-buckets")
-        crowd = _two_tables(members)
-        # Four members at most speak for a class in a bucket; others do in other buckets and rounds.
         orders = [F.xxhash64("bucket", "digest", F.lit(salt)) for salt in (2 * turn, 2 * turn + 1)]
-        ends = crowd.groupBy("bucket", "class").agg(*_ends(orders))
-        names = [c for c in ends.columns if c not in ("bucket", "class")]
-        speakers = ends.select("bucket", F.explode(F.array(*[F.struct(f"{c}.digest", f"{c}.n_words", f"{c}.class") for c in names])).alias("one"))
-        speakers = speakers.select("bucket", "one.*").distinct()
-        pairs = materialize(_led(speakers, orders, similarity).join(tried, ["a", "b"], "left_anti"), "candidates")
+        pairs = materialize(_led(_speakers(crowd, orders), orders, similarity), "candidates")
         fresh = _verified(pairs, words, similarity)
         if fresh.isEmpty():
-            break
-        found, tried = found.unionByName(fresh), tried.unionByName(pairs)
-    return found
+            return found
+        # What a text's link says about its class; a text that is its own class is not in the table of stars.
+        of = found.select(F.col("a").alias("digest"), F.col("b").alias("root"))
+        named = fresh.select("a", "b")
+        for end in ("a", "b"):
+            named = named.join(of.withColumnsRenamed({"digest": end, "root": f"{end}_root"}), end, "left")
+        joined = named.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        merged = components(joined).where("node <> class").select(F.col("node").alias("class"), F.col("class").alias("into"))
+        merged = materialize(merged, "merged")
+        crowd = crowd.join(merged, "class", "left").withColumn("class", F.coalesce("into", "class")).drop("into")
+        moved = found.join(merged.withColumnRenamed("class", "b"), "b", "left").select("a", F.coalesce("into", "b").alias("b"))
+        found = materialize(moved.unionByName(merged.select(F.col("class").alias("a"), F.col("into").alias("b"))), "stars")
 
 
 def _classed(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
