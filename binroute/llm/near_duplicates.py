@@ -154,10 +154,14 @@ def _led(members: DataFrame, orders: list[F.Column], similarity: float) -> DataF
     return pairs.where(_alike_length(similarity)).select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that align. Words of other texts are put aside first, by a broadcast if the pairs are few."""
+def _of(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The words of texts in pairs, found by a broadcast if the pairs are few."""
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "wanted")
-    some = words.join(wanted, "digest", "left_semi")
+    return words.join(wanted, "digest", "left_semi")
+
+
+def _verified(pairs: DataFrame, some: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that align."""
     a = some.select(F.col("digest").alias("a"), F.col("words").alias("words_a"))
     b = some.select(F.col("digest").alias("b"), F.col("words").alias("words_b"))
     return materialize(_aligned(pairs.join(a, "a").join(b, "b"), similarity), "links")
@@ -218,7 +222,7 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, id_
         turn += 1
         orders = [F.xxhash64("bucket", "digest", F.lit(salt)) for salt in (2 * turn, 2 * turn + 1)]
         pairs = materialize(_led(_speakers(crowd, orders), orders, similarity), "candidates")
-        fresh = _verified(pairs, words, similarity)
+        fresh = _verified(pairs, _of(words, pairs), similarity)
         if fresh.isEmpty():
             return found
         # What a text's link says about its class; a text that is its own class is not in the table of stars.
