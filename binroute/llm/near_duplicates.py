@@ -233,7 +233,7 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, id_
         joined = named.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
         merged = components(joined).where("node <> class").select(F.col("node").alias("class"), F.col("class").alias("into"))
         merged = materialize(merged, "merged")
-        crowd = crowd.join(merged, "class", "left").withColumn("class", F.coalesce("into", "class")).drop("into")
+        crowd = materialize(crowd.join(merged, "class", "left").withColumn("class", F.coalesce("into", "class")).drop("into"), "crowd")
         moved = found.join(merged.withColumnRenamed("class", "b"), "b", "left").select("a", F.coalesce("into", "b").alias("b"))
         found = materialize(moved.unionByName(merged.select(F.col("class").alias("a"), F.col("into").alias("b"))), "stars")
 
