@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .columns import field, slices, texts
 
 #: Pre-tokens kept with their ids, in each of two generations, and the longest kept.
-CACHED, CACHED_BYTES = 350_000, 64
+CACHED, CACHED_BYTES = 200_000, 64
 #: Pre-tokens merged in one buffer: few enough to stay in the processor's cache.
 TOGETHER = 2000
 

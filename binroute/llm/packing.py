@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .columns import field, texts
 
 CAPACITY = 2048
-GROUP = 8192
+GROUP = 4096
 
 
 def _byte_of() -> dict[str, int]:

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    workers.importable(spark)
+    workers.prepare(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

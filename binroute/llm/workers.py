@@ -1,4 +1,4 @@
-"""Python workers need to find this package, wherever the driver was started."""
+"""Settings of a session whose Python workers run the text operators."""
 
 from __future__ import annotations
 
@@ -7,10 +7,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
+BATCH, USUAL, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
-def importable(spark: SparkSession) -> None:
-    """Put the package's folder on the path of Python workers started from now on."""
+def prepare(spark: SparkSession) -> None:
+    """Put the package's folder on the path of Python workers started from now on, and make their batches small.
+
+    Texts are long: a thousand rows a batch keep a worker's memory low. A batch
+    size that the session has set itself stays.
+    """
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
+    if spark.conf.get(BATCH) == USUAL:
+        spark.conf.set(BATCH, ROWS)

@@ -20,31 +20,31 @@ from binroute.sources.scratch import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    workers.importable(spark)
+    workers.prepare(spark)
     rows = language.document_evidence(docs)
     found = language.identify(rows, language.fit(rows))
     return found.where("kept").select(*docs.columns)
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    workers.importable(spark)
+    workers.prepare(spark)
     labels = registry.table(spark, sf_dir, "labels")
     return resampling.fit(docs, labels, F.col("quality") == 1)[0].keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    workers.importable(spark)
+    workers.prepare(spark)
     return near_duplicates.keep_one(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts change, so ``n_chars`` is counted anew."""
-    workers.importable(spark)
+    workers.prepare(spark)
     return passages.remove(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    workers.importable(spark)
+    workers.prepare(spark)
     return registry.packed(docs)
 
 

@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(autouse=True)
 def _workers(spark):
-    workers.importable(spark)
+    workers.prepare(spark)
 
 
 @pytest.fixture

@@ -15,7 +15,7 @@ def kept(spark):
     """What each stage returns, in order."""
     from binroute.llm import workers
 
-    workers.importable(spark)
+    workers.prepare(spark)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = [docs]
     for name, stage in corpus_pipeline.STAGES:
