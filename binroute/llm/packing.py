@@ -33,7 +33,7 @@ def _byte_of() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(kept))}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokenizer(content: str, pattern: str):
     """The vocabulary of a byte-level ``tokenizers`` file; same ids, less work per text."""
     import tiktoken
