@@ -225,11 +225,12 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, id_
         fresh = _verified(pairs, _of(words, pairs), similarity)
         if fresh.isEmpty():
             return found
-        # What a text's link says about its class; a text that is its own class is not in the table of stars.
-        of = found.select(F.col("a").alias("digest"), F.col("b").alias("root"))
-        named = fresh.select("a", "b")
-        for end in ("a", "b"):
-            named = named.join(of.withColumnsRenamed({"digest": end, "root": f"{end}_root"}), end, "left")
+        # A text's link is a link of its class; a text that is its own class is not in the table of stars.
+        ends = fresh.select(F.explode(F.array("a", "b")).alias("a"))
+        roots = materialize(found.join(ends, "a", "left_semi"), "roots")
+        of_a = roots.select("a", F.col("b").alias("a_root"))
+        of_b = roots.select(F.col("a").alias("b"), F.col("b").alias("b_root"))
+        named = fresh.join(of_a, "a", "left").join(of_b, "b", "left")
         joined = named.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
         merged = components(joined).where("node <> class").select(F.col("node").alias("class"), F.col("class").alias("into"))
         merged = materialize(merged, "merged")
