@@ -186,9 +186,9 @@ def _two_tables(members: DataFrame) -> DataFrame:
     """Members by agreement in two tables at most three apart."""
     seats = members.groupBy("digest", "n_words", "class").agg(F.collect_list(F.struct("table", "bucket")).alias("seats"))  # one per table at most
     one = seats.select("digest", "n_words", "class", "seats", F.explode("seats").alias("one"))
-    two = one.select("digest", "n_words", "class", "one", F.explode("seats").alias("two"))
-    apart = F.pmod(F.col("two.table") - F.col("one.table"), F.lit(TABLES))
-    return two.where(apart.between(1, 3)).select(F.xxhash64("one.bucket", "two.bucket").alias("bucket"), "digest", "n_words", "class")
+    apart = F.filter("seats", lambda other: F.pmod(other["table"] - F.col("one.table"), F.lit(TABLES)).between(1, 3))
+    two = one.select("digest", "n_words", "class", "one", F.explode(apart).alias("two"))
+    return two.select(F.xxhash64("one.bucket", "two.bucket").alias("bucket"), "digest", "n_words", "class")
 
 
 def _speakers(members: DataFrame, orders: list[F.Column]) -> DataFrame:
