@@ -23,9 +23,11 @@ from pyspark.sql import types as T
 from .columns import field, slices, texts
 
 #: Pre-tokens kept with their ids, in each of two generations, and the longest kept.
-CACHED, CACHED_BYTES = 200_000, 64
+CACHED, CACHED_BYTES = 400_000, 64
 #: Pre-tokens merged in one buffer: few enough to stay in the processor's cache.
 TOGETHER = 2000
+#: Bytes of text encoded at a time.
+TEXT_BYTES = 1 << 20
 
 
 class RankQueue:
@@ -212,7 +214,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         try:
             for batch in batches:
                 column = texts(batch.column(1))
-                for start, stop in slices(column):
+                for start, stop in slices(column, TEXT_BYTES):
                     ids = encoder.encode(column[start:stop].to_pylist())
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0)[start:stop], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
