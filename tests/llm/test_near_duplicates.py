@@ -43,6 +43,20 @@ def test_signatures_follow_order_and_occurrence():
     assert len(near_duplicates.signature(words[:0])) == 0 and len(near_duplicates.signature(words[:2])) == near_duplicates.TABLES
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_texts_at_the_threshold_become_candidates(similarity):
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(400):
+        words = rng.integers(1, 1 << 60, 300).astype(np.uint64)
+        changed = words.copy()
+        places = rng.choice(300, round(300 * (1 - similarity)), replace=False)
+        changed[places] = rng.integers(1, 1 << 60, len(places)).astype(np.uint64)
+        met += (near_duplicates.signature(words) == near_duplicates.signature(changed)).any()
+    print(similarity, met / 400)
+    assert met >= 0.97 * 400
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(i, i + 1) for i in range(200, 240)]
