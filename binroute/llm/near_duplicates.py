@@ -10,7 +10,8 @@ alignment of their words decides.
 Equal texts form one node from the start. Within a bucket each text is compared
 with two leaders, never all with all. Further rounds look at texts of different
 classes that agree in two tables, again through leaders, others each time, until
-a round joins no classes. With a share J of common k-mers a pair agrees in a table
+a round joins no classes; then all texts of different classes that still share a
+bucket are compared, in one table or more. With a share J of common k-mers a pair agrees in a table
 with probability of about J^2. Scattered changes of a fifth of the words leave
 J = 0.34, and then at least one of 40 tables agrees in 99 % of pairs.
 """
@@ -213,7 +214,8 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, id_
     ``nodes`` has one row per different text: ``digest, rep, n_words, signature``.
     Texts are read again once, and only those in shared buckets are kept aside.
     After the first round only buckets with several classes are looked at, and
-    classes are renamed by a small table, so that later rounds are short.
+    classes are renamed by a small table, so that later rounds are short. When leaders
+    join no more, every pair left in a bucket of several classes is compared.
     """
     members = _shared(nodes)
     met = members.select("digest").distinct().join(nodes.select("digest", "rep"), "digest").withColumnsRenamed({"digest": "__d", "rep": "__r"})
@@ -232,19 +234,43 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, id_
         pairs = materialize(_led(_speakers(crowd, orders), orders, similarity), "candidates")
         fresh = _verified(pairs, _of(words, pairs), similarity)
         if fresh.isEmpty():
-            return found
-        # A text's link is a link of its class; a text that is its own class is not in the table of stars.
-        ends = fresh.select(F.explode(F.array("a", "b")).alias("a"))
-        roots = materialize(found.join(ends, "a", "left_semi"), "roots")
-        of_a = roots.select("a", F.col("b").alias("a_root"))
-        of_b = roots.select(F.col("a").alias("b"), F.col("b").alias("b_root"))
-        named = fresh.join(of_a, "a", "left").join(of_b, "b", "left")
-        joined = named.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-        merged = components(joined).where("node <> class").select(F.col("node").alias("class"), F.col("class").alias("into"))
-        merged = materialize(merged, "merged")
+            break
+        found, merged = _joined(found, fresh)
         crowd = materialize(crowd.join(merged, "class", "left").withColumn("class", F.coalesce("into", "class")).drop("into"), "crowd")
-        moved = found.join(merged.withColumnRenamed("class", "b"), "b", "left").select("a", F.coalesce("into", "b").alias("b"))
-        found = materialize(moved.unionByName(merged.select(F.col("class").alias("a"), F.col("into").alias("b"))), "stars")
+    known = found.select(F.col("a").alias("digest"), F.col("b").alias("root"))
+    classed = members.join(known, "digest", "left").withColumn("class", F.coalesce("root", "digest")).drop("root")
+    pairs = materialize(_every(classed, similarity), "candidates")
+    return _joined(found, _verified(pairs, _of(words, pairs), similarity))[0]
+
+
+def _joined(found: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stars ``found`` after new links between their classes, and the classes ``(class, into)`` that these renamed."""
+    # A text's link is a link of its class; a text that is its own class is not in the table of stars.
+    ends = fresh.select(F.explode(F.array("a", "b")).alias("a"))
+    roots = materialize(found.join(ends, "a", "left_semi"), "roots")
+    of_a = roots.select("a", F.col("b").alias("a_root"))
+    of_b = roots.select(F.col("a").alias("b"), F.col("b").alias("b_root"))
+    named = fresh.join(of_a, "a", "left").join(of_b, "b", "left")
+    joined = named.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    merged = components(joined).where("node <> class").select(F.col("node").alias("class"), F.col("class").alias("into"))
+    merged = materialize(merged, "merged")
+    moved = found.join(merged.withColumnRenamed("class", "b"), "b", "left").select("a", F.coalesce("into", "b").alias("b"))
+    return materialize(moved.unionByName(merged.select(F.col("class").alias("a"), F.col("into").alias("b"))), "stars"), merged
+
+
+def _every(classed: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``(a, b)`` of members of different classes in a bucket, of fit length.
+
+    Classes of a bucket are paired before their members, so that a large class is
+    never laid over itself.
+    """
+    mixed = materialize(_mixed(classed).select("bucket", "class", "digest", "n_words"), "mixed")
+    kinds = mixed.select("bucket", "class").distinct()
+    both = kinds.withColumnRenamed("class", "class_a").join(kinds.withColumnRenamed("class", "class_b"), "bucket").where("class_a < class_b")
+    left = mixed.select("bucket", F.col("class").alias("class_a"), F.col("digest").alias("x"), F.col("n_words").alias("n_a"))
+    right = mixed.select("bucket", F.col("class").alias("class_b"), F.col("digest").alias("y"), F.col("n_words").alias("n_b"))
+    met = both.join(left, ["bucket", "class_a"]).join(right, ["bucket", "class_b"]).where(_alike_length(similarity))
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def _classed(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

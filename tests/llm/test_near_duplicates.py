@@ -117,6 +117,22 @@ def test_a_large_family_among_texts_with_one_passage(spark):
     assert all(found[i] == 0 for i in range(150)) and all(found[1000 + i] == 1000 + i for i in range(150))
 
 
+def test_near_copies_within_a_family_of_one_template(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    template, rows = [word() for _ in range(300)], []
+    for i in range(200):
+        own = list(template)
+        for at in range(0, 300, 25):  # six words of every 25 are its own
+            own[at : at + 6] = [word() for _ in range(6)]
+        rows.append((2 * i, " ".join(own)))
+        for at in rng.sample(range(300), 45):
+            own[at] = word()
+        rows.append((2 * i + 1, " ".join(own)))
+    found = {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i - i % 2 for i in range(400)}
+
+
 def test_odd_rows(texts):
     rows = near_duplicates.classes(texts(*ODD)).collect()
     assert len(rows) == len(ODD)
