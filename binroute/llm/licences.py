@@ -1,6 +1,6 @@
 """Licence statements: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are lines. A multinomial logistic regression over hashed word unigrams,
+Paragraphs are lines, and runs of lines without comment marks. A multinomial logistic regression over hashed word unigrams,
 bigrams and trigrams tells licence families from one another and from other text;
 it is trained here on the templates below, damaged in fixed ways, against a bounded
 sample of the corpus' own paragraphs. A probability counts only above a bar that is
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from binroute.sources.scratch import materialize
@@ -70,10 +70,30 @@ CONFIRMED = 0.6
 _WORD = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
 
 
+#: Marks of comments before and after the words of a line.
+_MARKS = r"^\s*(?:<!--|/\*+|\*+/|\*+|//+[!/]*|#+|--+|;+|%+|>+|\.\.|(?i:rem|dnl)\b)?\s*|\s*(?:\*+/|-->|\*+|#+)?\s*$"
+
+
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, paragraph, text)`` per line with a letter; lines count from 0. Null and empty texts have none."""
-    lines = docs.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("paragraph", "text"))
-    return lines.where(F.col("text").rlike(r"\p{L}")).withColumn("paragraph", F.col("paragraph").cast("long"))
+    """``(id, paragraph, text)`` per line with a letter, and per run of several such lines; lines count from 0.
+
+    A run has the number of its first line, and its lines without comment marks,
+    joined by spaces. ``__wrapped`` marks runs; ``__run, __block`` name the run that a
+    row belongs to. A line without a letter ends a run. Null and empty texts have none.
+    """
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    bare = F.transform(lines, lambda line, i: F.when(line.rlike(r"\p{L}"), F.concat(i.cast("string"), F.lit("\x01"), line)).otherwise(""))
+    blocks = docs.select(F.col(id_col), F.explode(F.split(F.array_join(bare, "\n"), "\n{2,}")).alias("__block"))
+    numbered = F.filter(F.split("__block", "\n"), lambda line: line != "")
+    parts = F.transform(numbered, lambda line: F.struct(F.regexp_extract(line, "^([0-9]+)\x01", 1).cast("long").alias("paragraph"), F.regexp_replace(line, "^[0-9]+\x01", "").alias("text")))
+    rows = blocks.select(F.col(id_col), parts.alias("__lines")).where(F.size("__lines") > 0)
+    whole = F.array_join(F.transform("__lines", lambda line: F.regexp_replace(line["text"], _MARKS, "")), " ")
+    first = F.col("__lines")[0]["paragraph"]
+    run = F.array(F.struct(first.alias("paragraph"), whole.alias("text"), F.lit(True).alias("wrapped")))
+    own = F.transform("__lines", lambda line: F.struct(line["paragraph"].alias("paragraph"), line["text"].alias("text"), F.lit(False).alias("wrapped")))
+    every = F.when(F.size("__lines") > 1, F.concat(own, run)).otherwise(own)
+    named = rows.select(F.col(id_col), first.alias("__run"), F.xxhash64(whole).alias("__block"), F.explode(every).alias("__p"))
+    return named.select(id_col, "__p.paragraph", "__p.text", "__run", "__block", F.col("__p.wrapped").alias("__wrapped"))
 
 
 def _words(text: Column) -> Column:
@@ -126,14 +146,17 @@ class Scanner:
         """``(id, paragraph, text, family, probability, template_share, confirmed)`` per paragraph that a family claims.
 
         Paragraphs of the unknown class are left out. Ties go to the earlier family.
+        A run of lines is reported if none of its lines is confirmed alone.
         """
         scored = self.model.transform(vectors(paragraphs(docs, id_col, text_col)))
-        chances = scored.withColumn("p", vector_to_array("probability")).select(id_col, "paragraph", "text", "p")
+        chances = scored.withColumn("p", vector_to_array("probability")).select(id_col, "paragraph", "text", "__run", "__block", "__wrapped", "p")
         known = F.slice("p", 1, len(TEMPLATES))
         best = chances.withColumn("probability", F.array_max(known)).where((F.col("probability") >= self.bar) & (F.array_max("p") == F.col("probability")))
         family = F.element_at(F.lit(list(TEMPLATES)), F.array_position(known, F.col("probability")).cast("int"))
-        claimed = best.select(id_col, "paragraph", "text", family.alias("family"), F.round("probability", 6).alias("probability"))
-        return confirm(claimed)
+        claimed = best.select(id_col, "paragraph", "text", "__run", "__block", "__wrapped", family.alias("family"), F.round("probability", 6).alias("probability"))
+        alone = F.max(F.col("confirmed") & ~F.col("__wrapped")).over(Window.partitionBy(id_col, "__run", "__block"))  # lines of one run
+        told = confirm(claimed).withColumn("__alone", alone).where(~(F.col("__wrapped") & F.col("__alone")))
+        return told.drop("__run", "__block", "__wrapped", "__alone")
 
 
 def confirm(claimed: DataFrame) -> DataFrame:

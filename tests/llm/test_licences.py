@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import pytest
 from conftest import ODD
@@ -45,6 +46,14 @@ def test_unseen_wordings(spark, scanner):
     assert found == {i: f for i, (_, f) in cases.items() if f}
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_statements_wrapped_over_lines(spark, scanner, mark):
+    rows = [(f, "int x = 1;\n\n" + "\n".join(mark + line for line in textwrap.wrap(max(own, key=len), 72))) for f, own in licences.TEMPLATES.items()]
+    found = scanner.scan(spark.createDataFrame(rows, "doc_id string, text string")).where("confirmed").collect()
+    assert {(r["doc_id"], r["family"]) for r in found} == {(f, f) for f in licences.TEMPLATES}
+    assert {r["paragraph"] for r in found if r["doc_id"] in ("mit", "gpl-3.0", "bsd")} == {2}
+
+
 def test_confirmation_by_words(spark):
     rows = [(1, "Released under the MIT License.", "mit"), (2, "released under some other terms", "mit")]
     found = {r["i"]: r for r in licences.confirm(spark.createDataFrame(rows, "i long, text string, family string")).collect()}
