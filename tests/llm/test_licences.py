@@ -54,6 +54,14 @@ def test_statements_wrapped_over_lines(spark, scanner, mark):
     assert {r["paragraph"] for r in found if r["doc_id"] in ("mit", "gpl-3.0", "bsd")} == {2}
 
 
+def test_held_out_rows_are_not_fitted(documents, monkeypatch):
+    seen, fit = [], licences.LogisticRegression.fit
+    monkeypatch.setattr(licences.LogisticRegression, "fit", lambda self, rows: seen.append(rows.select("text", "family", "held").collect()) or fit(self, rows))
+    licences.train(documents.limit(200))
+    assert not any(r["held"] for r in seen[0])
+    assert {r["text"] for r in seen[0]} >= {t for own in licences.TEMPLATES.values() for t in own}
+
+
 def test_confirmation_by_words(spark):
     rows = [(1, "Released under the MIT License.", "mit"), (2, "released under some other terms", "mit")]
     found = {r["i"]: r for r in licences.confirm(spark.createDataFrame(rows, "i long, text string, family string")).collect()}
