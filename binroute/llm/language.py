@@ -111,13 +111,24 @@ def domain_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
+@dataclass
+class Weights:
+    """Evidence weights per value of a signal, as a written table ``(__value, __weights)``."""
+
+    table: DataFrame
+
+    def get(self, value: str | None, default: list[float] | None = None) -> list[float] | None:
+        row = self.table.where(F.col("__value") == F.lit(value)).first()
+        return list(row["__weights"]) if row else default
+
+
 @dataclass
 class Model:
     """Fitted evidence: a likelihood table, evidence weights per value, and priors per host as a table."""
 
     table: np.ndarray
     languages: tuple[str, ...]
-    signals: dict[str, dict[str, list[float]]]
+    signals: dict[str, Weights]
     corpus: list[float]
     hosts: DataFrame
 
@@ -125,23 +136,25 @@ class Model:
         """``rows`` with ``scores``, the posterior of each language and of ``und``, summing to 1.
 
         ``rows`` has ``__text, __declared, __suffix, __host``. The join with the
-        hosts' priors is left to Spark: broadcast if the written table is small,
+        hosts' priors and with the signals' weights is left to Spark: broadcast if the written table is small,
         else a shuffle that adaptive execution can split at a hot host.
         """
         total = log_likelihoods(self.table, F.col("__text")) if likelihoods is None else likelihoods
         joined = rows.withColumn("__fit", total).join(self.hosts, F.col("__host") == F.col("__host_name"), "left")
         parts = [F.coalesce(F.col("__prior"), F.lit(self.corpus))]
-        for signal, values in self.signals.items():
-            known = F.map_from_arrays(F.lit([*values]), F.lit([*values.values()]))
-            parts.append(F.coalesce(F.try_element_at(known, F.col(f"__{signal}")), F.lit([0.0] * len(self.corpus))))
+        for signal, weights in self.signals.items():
+            own = weights.table.withColumnsRenamed({"__value": f"__{signal}_value", "__weights": f"__{signal}_weights"})
+            joined = joined.join(own, F.col(f"__{signal}") == F.col(f"__{signal}_value"), "left")
+            parts.append(F.coalesce(F.col(f"__{signal}_weights"), F.lit([0.0] * len(self.corpus))))
         sums = F.col("__fit")
         for part in parts:
             sums = F.zip_with(sums, part, lambda x, y: x + y)
         scored = joined.withColumn("__sums", sums)
+        used = [f"__{signal}_{part}" for signal in self.signals for part in ("value", "weights")]
         top = F.array_max("__sums")
         weights = scored.withColumn("__odds", F.transform("__sums", lambda s: F.exp(s - top)))
         whole = F.aggregate("__odds", F.lit(0.0), lambda a, b: a + b)
-        return weights.withColumn("scores", F.transform("__odds", lambda o: o / whole)).drop("__fit", "__prior", "__host_name", "__sums", "__odds")
+        return weights.withColumn("scores", F.transform("__odds", lambda o: o / whole)).drop("__fit", "__prior", "__host_name", "__sums", "__odds", *used)
 
 
 def evidence(docs: DataFrame, text: Column, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None) -> DataFrame:
@@ -166,8 +179,8 @@ def fit(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> Model:
 
     Declared languages label the trigram counts. What a signal says, and the
     shares of hosts, are counted on the language that the text alone suggests.
-    Signals with more than 64 values keep the 64 most frequent; the others, like
-    unseen ones, say nothing about the language.
+    Every value of a signal has weights, smoothed towards the corpus, so that rare
+    ones say little; unseen ones say nothing about the language.
     """
     counts = count_trigrams(rows.select(F.col("__text").alias("text"), F.col("__declared").alias("declared")), languages)
     table = likelihood_table(counts, languages)
@@ -186,12 +199,10 @@ def fit(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> Model:
     signals = {}
     for signal in ("declared", "suffix"):
         seen = guessed.where(F.col(f"__{signal}").isNotNull()).groupBy(F.col(f"__{signal}").alias("value")).agg(*by_class)
-        top = seen.orderBy(-sum((F.col(n) for n in names[1:]), F.col(names[0])), "value").limit(64).collect()
-        if top:
-            found = np.array([[r[n] for n in names] for r in top]) + 1.0
-            given = np.log(found / found.sum(axis=0))
-            given -= given.mean(axis=1, keepdims=True)
-            signals[signal] = {r["value"]: [float(x) for x in w] for r, w in zip(top, given, strict=True)}
+        ratios = [F.log((F.col(n) + len(names) * float(x)) / float(x)) for n, x in zip(names, corpus, strict=True)]
+        mean = sum(ratios[1:], ratios[0]) / len(ratios)
+        weights = F.array(*[r - mean for r in ratios])
+        signals[signal] = Weights(materialize(seen.select(F.col("value").alias("__value"), weights.alias("__weights")), f"language-{signal}"))
     hosts = guessed.where("__host IS NOT NULL").groupBy(F.col("__host").alias("__host_name")).agg(*by_class)
     hosts = materialize(hosts.withColumn("domain", domain_of(F.col("__host_name"))), "language-hosts")
     parents = hosts.groupBy("domain").agg(*[F.sum(n).alias(f"p{n}") for n in names])

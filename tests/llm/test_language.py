@@ -88,3 +88,17 @@ def test_pages(spark):
     found = spark.read.parquet(f"{SF}/pages.parquet")
     evidence = language.page_evidence(found)
     assert language.identify(evidence, language.fit(evidence)).where("kept").count() == found.count()
+
+
+def test_every_suffix_says_something(spark):
+    pages = [(100 * v + i, f"https://h{100 * v + i}.example.s{v:03d}", f"<html lang={'en' if v % 2 else 'fr'}><p>{EN if v % 2 else FR}</p>") for v in range(100) for i in range(3)]
+    model = language.fit(language.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    assert all(np.argmax(model.signals["suffix"].get(f"s{v:03d}")) == (0 if v % 2 else 1) for v in (0, 1, 50, 98, 99))
+    rare = spark.createDataFrame([(1, EN, "en", "a.x")] * 300 + [(2, FR, "fr", "b.x")] * 20, "doc_id long, text string, lang string, source string")
+    rows = language.evidence(rare.unionByName(rare.limit(1).withColumn("source", F.lit("once"))), F.col("text"), F.col("lang"), F.col("source"))
+    once = model_weights(rows, "once")
+    assert np.argmax(once) == 0
+
+
+def model_weights(rows, value):
+    return language.fit(rows).signals["suffix"].get(value)
