@@ -176,8 +176,9 @@ def fit(
     scored = materialize(
         weighed.withColumn("rank", as_rank(F.col("log_weight") + gumbel(F.col(id_col), seed))), "importance"
     )
-    known = scored.where("__held").groupBy("log_weight", "__good").count().limit(2 * bound).collect()
-    cut = best_cut([(r["log_weight"], r["__good"]) for r in known for _ in range(min(r["count"], bound))])
+    one = F.min_by("log_weight", F.xxhash64("log_weight"))  # of documents with one id, whatever their order
+    known = scored.where("__held").groupBy(id_col).agg(one.alias("weight"), F.max("__good").alias("good")).collect()  # at most ``bound``
+    cut = best_cut([(r["weight"], r["good"]) for r in known])
     k = scored.where(F.col("log_weight") >= F.lit(cut)).count()
     least = threshold(scored, "rank", k)
     return Resampler(ratios, seed, cut, k, least, id_col, text_col), scored.drop("__good", "__held")

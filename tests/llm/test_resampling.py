@@ -79,3 +79,13 @@ def test_keep_returns_the_documents(spark):
     assert kept.columns == docs.columns
     chosen = {r["doc_id"] for r in scored.where(F.col("rank") >= fitted.least_rank).collect()}
     assert {r["doc_id"] for r in kept.collect()} == chosen and len(chosen) >= fitted.k
+
+
+def test_one_weight_per_held_out_label(spark, monkeypatch):
+    seen, cut = [], resampling.best_cut
+    monkeypatch.setattr(resampling, "best_cut", lambda scores: seen.append(scores) or cut(scores))
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} u{i} w{j}") for i in range(20) for j in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    held = resampling.labelled_sample(labels, F.col("quality") == 1, bound=20).where("__held").count()
+    cuts = [resampling.fit(docs.repartition(n), labels, F.col("quality") == 1, bound=20)[0].cut for n in (1, 7)]
+    assert [len(s) for s in seen] == [held, held] and cuts[0] == cuts[1]
