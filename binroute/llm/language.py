@@ -7,7 +7,8 @@ For each language the log posterior adds up
 - the declared markup language and the address suffix: how often text of the
   language carries them, counted over the corpus;
 - the host's prior: language shares of the host, smoothed towards those of its
-  parent domain, and these towards those of the corpus, by grouped counts.
+  parent domain (or, with one label, of the corpus), and these towards those of
+  the corpus, by grouped counts.
 
 Evidence that is missing says nothing. A flat model stands for text in no language.
 """
@@ -107,8 +108,8 @@ def best(scores: Column, languages: tuple[str, ...]) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host name; a name of one label is its own domain."""
-    return F.substring_index(host, ".", -2)
+    """The last two labels of a host name; null for a name of one label, whose parent is the corpus."""
+    return F.when(host.contains("."), F.substring_index(host, ".", -2))
 
 
 @dataclass
@@ -205,9 +206,10 @@ def fit(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> Model:
         signals[signal] = Weights(materialize(seen.select(F.col("value").alias("__value"), weights.alias("__weights")), f"language-{signal}"))
     hosts = guessed.where("__host IS NOT NULL").groupBy(F.col("__host").alias("__host_name")).agg(*by_class)
     hosts = materialize(hosts.withColumn("domain", domain_of(F.col("__host_name"))), "language-hosts")
-    parents = hosts.groupBy("domain").agg(*[F.sum(n).alias(f"p{n}") for n in names])
-    parent = _shares([F.col(f"p{n}") for n in names], [F.lit(float(x)) for x in corpus])
-    joined = hosts.join(parents, "domain")
+    parents = hosts.where("domain IS NOT NULL").groupBy("domain").agg(*[F.sum(n).alias(f"p{n}") for n in names])
+    top = [F.lit(float(x)) for x in corpus]
+    parent = [F.coalesce(p, x) for p, x in zip(_shares([F.col(f"p{n}") for n in names], top), top, strict=True)]
+    joined = hosts.join(parents, "domain", "left")
     prior = F.array(*[F.log(s) for s in _shares([F.col(n) for n in names], parent)])
     priors = materialize(joined.select("__host_name", prior.alias("__prior")), "language-priors")
     return Model(table, languages, signals, [float(np.log(x)) for x in corpus], priors)

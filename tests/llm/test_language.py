@@ -58,6 +58,12 @@ def test_host_priors_are_smoothed_towards_the_domain(corpus):
     assert sum(priors["b.example.com"]) == pytest.approx(1)
 
 
+def test_hosts_of_one_label_are_smoothed_towards_the_corpus(corpus):
+    model = language.fit(language.document_evidence(corpus.withColumn("source", F.regexp_extract("source", r"^\w+", 0))))
+    priors = {r["__host_name"]: np.exp(r["__prior"]) for r in model.hosts.collect()}
+    assert priors["a"] == pytest.approx((np.array([20, 0, 0, 0, 0]) + 10 * np.exp(model.corpus)) / 30)
+
+
 def test_a_short_text_follows_host_and_declaration(corpus, spark):
     model = language.fit(language.document_evidence(corpus))
     asked = spark.createDataFrame([(1, "xq", "fr", "b.example.com"), (2, "xq", "en", "a.example.com"), (3, "!!", "en", None)], corpus.schema)
