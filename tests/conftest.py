@@ -1,4 +1,3 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -9,6 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from binroute.session import local_session  # noqa: E402
 from binroute.sources import schemas  # noqa: E402
+from helpers import DAY  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -18,11 +18,6 @@ def spark():
     return session
 
 
-DAY = dt.date(2026, 1, 10)
-NOON = dt.datetime(2026, 1, 10, 12, 0)
-LATER = dt.datetime(2026, 1, 10, 13, 0)
-
-
 @pytest.fixture
 def attempts(spark):
     """Attempt rows from tuples (txid, processor, status, error, time[, date])."""
@@ -37,8 +32,3 @@ def attempts(spark):
 @pytest.fixture
 def customers(spark):
     return lambda *rows: spark.createDataFrame(list(rows), schemas.CUSTOMERS)
-
-
-def tuples(df, *columns):
-    chosen = df.select(*columns) if columns else df
-    return sorted((tuple(row) for row in chosen.collect()), key=repr)

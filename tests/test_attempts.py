@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import LATER, NOON, tuples
+from helpers import LATER, NOON, tuples
 
 from binroute.constants import ERROR_BLACKLIST
 from binroute.operators import approval, filters

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import tuples
+from helpers import tuples
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 

@@ -1,4 +1,4 @@
-from conftest import LATER, NOON, tuples
+from helpers import LATER, NOON, tuples
 
 from binroute.operators import filters
 from binroute.plans import reports

@@ -6,7 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import DAY
+from helpers import DAY
 from pyspark.sql import functions as F
 
 from binroute.constants import ERROR_BLACKLIST

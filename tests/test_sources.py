@@ -1,7 +1,7 @@
 """Files in and out, stored runs, and the scratch folder."""
 
 import pytest
-from conftest import tuples
+from helpers import tuples
 
 from binroute.operators import encoding, features, learning
 from binroute.plans import training as plan
