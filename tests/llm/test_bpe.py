@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest import ODD
+from llm_helpers import ODD
 
 from binroute.llm import bpe
 

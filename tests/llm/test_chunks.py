@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import numpy as np
-from conftest import ODD
+from llm_helpers import ODD
 
 from binroute.llm import chunks
 

@@ -2,7 +2,7 @@ import itertools
 import random
 
 import numpy as np
-from conftest import SF
+from llm_helpers import SF
 from pyspark.sql import functions as F
 
 from binroute.llm import conversations as c

@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import ODD, SF
+from llm_helpers import ODD, SF
 from pyspark.sql import functions as F
 
 from binroute.llm import language

@@ -2,7 +2,7 @@ import re
 import textwrap
 
 import pytest
-from conftest import ODD
+from llm_helpers import ODD
 
 from binroute.llm import licences
 

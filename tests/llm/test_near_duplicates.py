@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import ODD, SF
+from llm_helpers import ODD, SF
 
 from binroute.llm import near_duplicates
 from binroute.llm.alignment import most_edits, within

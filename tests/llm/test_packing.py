@@ -2,7 +2,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-from conftest import ODD
+from llm_helpers import ODD
 from tokenizers import Tokenizer
 
 from binroute.llm import packing

@@ -1,7 +1,7 @@
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import SF
+from llm_helpers import SF
 from test_near_duplicates import plain_classes
 from tokenizers import Tokenizer
 

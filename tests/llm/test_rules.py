@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 from compare import compare, connect
-from conftest import ODD, SF
+from llm_helpers import ODD, SF
 
 from binroute.llm import oracles, registry, rules
 
