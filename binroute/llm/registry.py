@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, conversations, hard_negatives, language, licences, near_duplicates, oracles, packing, passages, resampling, rules, workers
+from . import bpe, chunks, conversations, divergence, hard_negatives, language, licences, near_duplicates, oracles, packing, passages, resampling, rules, workers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +80,10 @@ def _fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.compare_with_edits(table(spark, sf, "documents"))
 
 
+def _divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
+
+
 def _hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -107,6 +111,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": _rules,
         "op9_licence_scan": _licences,
         "op10_fingerprints": _fingerprints,
+        "op11_source_divergence": _divergence,
         "op12_hard_negatives": _hard_negatives,
     }
 
