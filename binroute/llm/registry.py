@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, conversations, divergence, hard_negatives, language, licences, near_duplicates, oracles, packing, passages, resampling, rules, workers
+from . import bpe, chunks, conversations, divergence, hard_negatives, language, licences, near_duplicates, oracles, packing, passages, resampling, rules, set_join, workers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +91,10 @@ def _hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return hard_negatives.mine(rows, rows.where("vec_id % 100 = 0"))
 
 
+def _set_join(spark: SparkSession, sf: str) -> DataFrame:
+    return set_join.linked(table(spark, sf, "documents"))
+
+
 def _pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,6 +117,7 @@ def queries() -> dict[str, Query]:
         "op10_fingerprints": _fingerprints,
         "op11_source_divergence": _divergence,
         "op12_hard_negatives": _hard_negatives,
+        "op13_ngram_join": _set_join,
     }
 
 
