@@ -26,10 +26,12 @@ from binroute.operators import (  # noqa: E402
     routing,
     split,
 )
+from binroute.plans import refresh  # noqa: E402
 from binroute.plans import training as plan  # noqa: E402
 from binroute.sources.readers import read_bin_csv, read_csv, read_dictionary_json, read_training_csv  # noqa: E402
 from binroute.sources.schemas import CATEGORICAL, FEATURES  # noqa: E402
 from binroute.sources.scratch import materialize, scratch_path  # noqa: E402
+from binroute.sources import writers  # noqa: E402
 from binroute.sources.writers import write_dictionary_json, write_report_csv  # noqa: E402
 
 try:  # the text operators are an optional part: they may be absent
@@ -200,6 +202,17 @@ def _stats(name: str) -> Query:
     return lambda spark, sf: getattr(_prepared(spark, sf).stats, name)
 
 
+def _stats_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """All statistics after three refreshes: old years, new years, and late rows of both."""
+    rows = fx.training(spark, sf, "l_shipdate", "l_returnflag")
+    year, late = F.date_format("l_shipdate", "yyyy"), (F.col("l_linenumber") == 7) | (F.col("l_returnflag") == "R")
+    base = scratch_path(spark, "store")
+    for part in (~late & (year < "1999"), ~late & (year >= "1999"), late):
+        stats = refresh.refresh_and_publish(rows.where(part), year, base, _seed(spark))
+    names = writers.load_dictionary(spark, base, writers.latest(spark, base)[1].dictionary_run)
+    return encoding.decode(stats.pairs, names, "processor_name", "processor_name_encoded", "processor").drop("processor_name_encoded")
+
+
 def _feature_rows(spark: SparkSession, sf: str, require_success: bool = True) -> DataFrame:
     names = ["l_orderkey", "l_linenumber", "processor_name_encoded", "success_flag", *FEATURES]
     return _prepared(spark, sf, require_success).rows.select(*names)
@@ -397,6 +410,7 @@ def queries() -> dict[str, Query]:
         "successful_bins": lambda s, d: features.successful_bins(_pairs(s, d)),
         "valid_processors": _valid_processors,
         "valid_processors_nb": lambda s, d: features.valid_processors(_pairs(s, d)),
+        "stats_merged": _stats_merged,
         "all_processors": _stats("all_processors"),
         "bin_tx": _stats("bin_tx"),
         "bin_success": _stats("bin_success"),

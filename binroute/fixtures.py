@@ -72,8 +72,8 @@ def lettered_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("txid"), F.concat(start, end).alias("card_no"))
 
 
-def training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows; the two line keys only serve ordering and are not unique."""
+def training(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Training rows; the two line keys only serve ordering and are not unique. ``more`` names columns of the line."""
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     holders = table(spark, sf_dir, "customer")
@@ -95,5 +95,6 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_mktsegment").alias("project_name"),
             F.col("l_orderkey"),
             F.col("l_linenumber"),
+            *more,
         )
     )

@@ -451,6 +451,12 @@ def oracle_sql() -> dict[str, str]:
         "bin_tx": _with(*RETRAIN) + "SELECT * FROM bin_tx",
         "bin_success": _with(*RETRAIN) + "SELECT * FROM bin_success",
         "proc_success": _with(*RETRAIN) + "SELECT * FROM proc_success",
+        "stats_merged": _with(*RETRAIN)
+        + """SELECT bp.bin, d.category AS processor, t.bin_tx_count, s.bin_success_rate, p.processor_success_rate,
+    bp.bin_processor_tx_count, bp.bin_processor_success_count, bp.bin_processor_success_rate
+  FROM bin_proc bp JOIN bin_tx t ON t.bin = bp.bin JOIN bin_success s ON s.bin = bp.bin
+  JOIN proc_success p ON p.processor_name_encoded = bp.processor_name_encoded
+  JOIN dictionary d ON d.column_name = 'processor_name' AND d.code = bp.processor_name_encoded""",
         "bin_proc_stats": _with(*RETRAIN) + "SELECT * FROM bin_proc",
         "global_fallback": _with(*RETRAIN)
         + "SELECT ROUND(bin_tx_count, 6) AS bin_tx_count, ROUND(bin_success_rate, 6) AS bin_success_rate, "

@@ -137,6 +137,7 @@ def test_retrain_publish_and_score(spark, tmp_path):
     grown = {r.category: r.code for r in latest.dictionary.collect()}
     assert codes.items() <= grown.items() and grown["P0"] == codes["P2"] + 1
     assert latest.stats.all_processors.count() == 3
+    assert f"before {done.accuracy:.2%}" in writers.latest(spark, base)[1].message
     # The earlier run is still there as a backup.
     assert writers.load_stats(spark, base, first).all_processors.count() == 2
 
