@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from binroute.constants import ERROR_BLACKLIST, POOR_MAX_RATE, POOR_MIN_ATTEMPTS
 from binroute.functions import bin_of, exact_percent, strip
 from binroute.operators import attempts as att
-from binroute.operators import filters
+from binroute.operators import bloom, filters
 from binroute.sources.scratch import materialize
 
 
@@ -143,8 +143,8 @@ def approval_rate_ranked(
     usable = filters.drop_blacklisted_not_in(filters.in_date_range(attempts, start, end), errors)
     if bins is not None:
         # First attempts are found per payment, so payments of other BINs can go
-        # before any attempt is shuffled for that purpose.
-        usable = usable.join(cards, "txid", "left_semi")
+        # before any attempt is shuffled for that purpose; most go at the scan.
+        usable = bloom.only_possible(usable, "txid", cards.select("txid")).join(cards, "txid", "left_semi")
     first = att.first_attempt_per_processor(usable)
     if processors is not None:
         first = first.where(F.col("processor_name").isin(*processors))
@@ -173,7 +173,7 @@ def approval_rate_legacy(
     """
     cards = _listed_cards(customers, bins)
     if bins is not None:
-        attempts = attempts.join(cards, "txid", "left_semi")
+        attempts = bloom.only_possible(attempts, "txid", cards.select("txid")).join(cards, "txid", "left_semi")
     usable = filters.drop_blacklisted_not_in(filters.in_date_range(attempts, start, end), errors)
     moments = att.first_times(usable).withColumnRenamed("first_transaction_datetime", "created_datetime")
     # Raw attempts meet the moments first: the rest of the history is not shuffled for the counts.
