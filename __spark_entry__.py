@@ -22,6 +22,7 @@ from binroute.operators import (  # noqa: E402
     features,
     filters,
     learning,
+    moments,
     profile,
     routing,
     split,
@@ -31,7 +32,8 @@ from binroute.plans import training as plan  # noqa: E402
 from binroute.sources.readers import read_bin_csv, read_csv, read_dictionary_json, read_training_csv  # noqa: E402
 from binroute.sources.schemas import CATEGORICAL, FEATURES  # noqa: E402
 from binroute.sources.scratch import materialize, scratch_path  # noqa: E402
-from binroute.sources import writers  # noqa: E402
+from binroute.sources import layout, writers  # noqa: E402
+from binroute.sources.moment_store import MomentStore  # noqa: E402
 from binroute.sources.writers import write_dictionary_json, write_report_csv  # noqa: E402
 
 try:  # the text operators are an optional part: they may be absent
@@ -107,6 +109,43 @@ def _first_usable(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _moment_store(spark: SparkSession, sf: str, blacklist: bool) -> MomentStore:
+    """First moments from three batches: the later half of the attempts, the earlier half, and late ones of both."""
+    txn = fx.transactions(spark, sf)
+    late, second = F.crc32(F.concat_ws("/", "txid", "error_description")) % 5 == 0, F.col("created_date") >= F.lit("1998-07-10").cast("date")
+    store = MomentStore(spark, scratch_path(spark, "moments"))
+    for number, part in enumerate((second & ~late, ~second & ~late, late)):
+        rows = txn.where(part)
+        flagged = filters.flag_blacklisted(rows, filters.blacklist_table(spark)) if blacklist else rows.withColumn("blacklisted", F.lit(False))
+        store.merge(moments.first_moments(flagged), number=number)
+    store.merge(moments.first_moments(txn.withColumn("blacklisted", F.lit(False))), number=2)  # a repeated batch adds nothing
+    store.compact()
+    return store
+
+
+def _first_from_state(spark: SparkSession, sf: str) -> DataFrame:
+    rows = moments.per_processor(_moment_store(spark, sf, blacklist=False).read())
+    return rows.select("txid", "processor_name", "status")
+
+
+def _stats_from_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics from the stored months; the month that the range cuts is read from the attempts."""
+    store = _moment_store(spark, sf, blacklist=True)
+    flagged = filters.flag_blacklisted(fx.transactions(spark, sf), filters.blacklist_table(spark))
+    state = store.between(oracles.STATE_RANGE[0], oracles.STATE_RANGE[1], flagged)
+    return approval.stats_of_first(moments.counts(state), fx.customers(spark, sf))
+
+
+def _ranked_from_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranking over attempts stored by month and payment, and cards stored by payment."""
+    path = scratch_path(spark, "layout")
+    name = "binroute_" + path[-32:]
+    layout.write_attempts(fx.transactions(spark, sf), f"{name}_attempts", f"{path}/attempts", buckets=8)
+    layout.write_cards(fx.customers(spark, sf), f"{name}_cards", f"{path}/cards", buckets=8)
+    stored = layout.read_attempts(spark, f"{name}_attempts", *YEAR)
+    return approval.approval_rate_ranked(stored, spark.table(f"{name}_cards"), *YEAR)
+
+
 # --- BIN input -------------------------------------------------------------------
 
 
@@ -381,6 +420,9 @@ def queries() -> dict[str, Query]:
             "txid", "processor_name", "status"
         ),
         "first_attempt_per_processor": _first_usable,
+        "first_attempt_state": _first_from_state,
+        "bin_processor_stats_state": _stats_from_state,
+        "approval_rate_layout": _ranked_from_layout,
         "bin_split": lambda s, d: features.with_bin_parts(_training(s, d)).select(
             "l_orderkey", "l_linenumber", "bin", "bin_prefix", "bin_suffix"
         ),

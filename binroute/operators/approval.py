@@ -70,7 +70,11 @@ def bin_processor_stats(
     moment all count. NULL errors are kept.
     """
     flagged = filters.flag_blacklisted(filters.in_trailing_month(attempts, as_of), blacklist)
-    first = att.first_attempt_counts(flagged)
+    return stats_of_first(att.first_attempt_counts(flagged), customers)
+
+
+def stats_of_first(first: DataFrame, customers: DataFrame) -> DataFrame:
+    """Statistics from the counts of first attempts per payment and processor."""
     return _rates(first, att.cards_of(customers), "processor_name", "approval_rate", 4)
 
 
@@ -83,8 +87,7 @@ def bin_processor_stats_legacy(
     """As above, with ``NOT IN``: attempts with a NULL error are left out too."""
     recent = filters.in_trailing_month(attempts, as_of)
     flagged = recent.withColumn("blacklisted", ~filters.not_in_blacklist(errors))
-    first = att.first_attempt_counts(flagged)
-    return _rates(first, att.cards_of(customers), "processor_name", "approval_rate", 4)
+    return stats_of_first(att.first_attempt_counts(flagged), customers)
 
 
 def poor_pairs(
@@ -145,7 +148,17 @@ def approval_rate_ranked(
         # First attempts are found per payment, so payments of other BINs can go
         # before any attempt is shuffled for that purpose; most go at the scan.
         usable = bloom.only_possible(usable, "txid", cards.select("txid")).join(cards, "txid", "left_semi")
-    first = att.first_attempt_per_processor(usable)
+    return _ranked_first(att.first_attempt_per_processor(usable), cards, processors)
+
+
+def rank_first(
+    first: DataFrame, customers: DataFrame, bins: DataFrame | Sequence[str] | None = None, processors: Sequence[str] | None = None
+) -> DataFrame:
+    """The ranking from first attempts, one per payment and processor, that are found already."""
+    return _ranked_first(first, _listed_cards(customers, bins), processors)
+
+
+def _ranked_first(first: DataFrame, cards: DataFrame, processors: Sequence[str] | None) -> DataFrame:
     if processors is not None:
         first = first.where(F.col("processor_name").isin(*processors))
     counted = first.select(

@@ -69,7 +69,7 @@ COUNTS = """CAST(COUNT(*) FILTER (WHERE status IN ('approved', 'declined')) AS B
 # --- R2 --------------------------------------------------------------------------
 
 
-def _bin_stats(as_of: str, legacy: bool = False) -> tuple[str, ...]:
+def _bin_stats(as_of: str, legacy: bool = False, where: str | None = None) -> tuple[str, ...]:
     keep = (
         f"b.error_description NOT IN ({ERRORS})"
         if legacy
@@ -77,7 +77,7 @@ def _bin_stats(as_of: str, legacy: bool = False) -> tuple[str, ...]:
     )
     return (
         *BASE,
-        f"""base AS (SELECT * FROM transactions WHERE created_date >= DATE '{as_of}' - INTERVAL 1 MONTH)""",
+        f"""base AS (SELECT * FROM transactions WHERE {where or f"created_date >= DATE '{as_of}' - INTERVAL 1 MONTH"})""",
         "first_times AS (SELECT txid, MIN(created_datetime) AS ts FROM base GROUP BY txid)",
         f"""first_tx AS (SELECT b.txid, b.processor_name, b.status FROM base b
   JOIN first_times f ON b.txid = f.txid AND b.created_datetime = f.ts WHERE {keep})""",
@@ -118,6 +118,7 @@ def _ranked(start: str, end: str, bins: str | None = None) -> tuple[str, ...]:
 _RANK = f"""ranked AS (SELECT *, CAST(DENSE_RANK() OVER (PARTITION BY bin ORDER BY ar DESC NULLS FIRST) AS BIGINT) AS rnk
   FROM (SELECT *, {_percent('total_success', 'total', 3)} AS ar FROM counts))"""
 
+STATE_RANGE = ("1996-03-10", "2000-08-20")
 WHOLE = ("1995-01-01", "2001-12-31")
 YEAR = ("2000-01-01", "2000-12-31")
 SELECTED = "'400001', '400002', '400003', '400007'"
@@ -405,6 +406,13 @@ def oracle_sql() -> dict[str, str]:
         "FROM transactions GROUP BY txid) f ON f.txid = t.txid AND f.ts = t.created_datetime",
         "first_attempt_per_processor": _with(*BASE, "usable AS (SELECT * FROM transactions)", *FIRST_USABLE)
         + "SELECT txid, processor_name, status FROM first_tx",
+        "first_attempt_state": _with(*BASE, "usable AS (SELECT * FROM transactions)", *FIRST_USABLE)
+        + "SELECT txid, processor_name, status FROM first_tx",
+        "bin_processor_stats_state": _with(
+            *_bin_stats("", where=f"created_date BETWEEN DATE '{STATE_RANGE[0]}' AND DATE '{STATE_RANGE[1]}'")
+        )
+        + stats_columns,
+        "approval_rate_layout": _with(*_ranked(*YEAR)) + ranked_columns,
         "bin_split": _with(TRAINING)
         + "SELECT l_orderkey, l_linenumber, bin, bin // 1000 AS bin_prefix, bin % 1000 AS bin_suffix FROM training",
         # report
