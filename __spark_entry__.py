@@ -29,6 +29,7 @@ from binroute.operators import (  # noqa: E402
 )
 from binroute.plans import refresh  # noqa: E402
 from binroute.plans import training as plan  # noqa: E402
+from binroute.sources import readers  # noqa: E402
 from binroute.sources.readers import read_bin_csv, read_csv, read_dictionary_json, read_training_csv  # noqa: E402
 from binroute.sources.schemas import CATEGORICAL, FEATURES  # noqa: E402
 from binroute.sources.scratch import materialize, scratch_path  # noqa: E402
@@ -325,14 +326,22 @@ def _fitted(spark: SparkSession, sf: str, class_weighted: bool, trees: int):
 
 
 def _gbt(class_weighted: bool, trees: int = C.TREES) -> Query:
-    """Train on the training part and score every candidate; each score is a probability."""
+    """Train on the training part and score every candidate, by the model and by the table of its nodes.
+
+    Both ways give a probability, and the same one.
+    """
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         model, ready, _ = _fitted(spark, sf, class_weighted, trees)
         flag = encoding.code_of(ready.encoder.dictionary, "is_3d", "t")
-        rows = features.candidate_features(_candidate_bins(spark, sf), ready.stats, flag)
-        scored = learning.score(model, rows)
-        return scored.select("bin", "processor_name_encoded", F.col("score").between(0, 1).alias("is_probability"))
+        rows = materialize(features.candidate_features(_candidate_bins(spark, sf), ready.stats, flag), "candidates")
+        path = scratch_path(spark, "model")
+        model.write().save(path)
+        keys = ["bin", "processor_name_encoded"]
+        by_nodes = learning.score_by_nodes(learning.node_table(spark, path), rows, keys)
+        both = learning.score(model, rows).select(*keys, "score").join(by_nodes.withColumnRenamed("score", "by_nodes"), keys)
+        same = F.abs(F.col("score") - F.col("by_nodes")) < 1e-9
+        return both.select(*keys, F.col("score").between(0, 1).alias("is_probability"), same.alias("agrees_with_nodes"))
 
     return run
 
@@ -365,6 +374,30 @@ def _training_csv(spark: SparkSession, sf: str) -> DataFrame:
     return read_training_csv(spark, path)
 
 
+def _damaged_csv(spark: SparkSession, sf: str) -> readers.Loaded:
+    """Training rows as lines of files, some of which are too long, too short, without a number, or in files with another header."""
+    names = ["bin", *CATEGORICAL]
+    rows, kind = _training(spark, sf), F.col("l_orderkey") % 13
+    number = F.when(kind == 3, F.concat(F.lit("x"), F.col("l_linenumber").cast("string"))).otherwise(F.coalesce(F.col("bin").cast("string"), F.lit("")))
+    line = F.concat_ws(",", number, *[F.coalesce(c, F.lit("")) for c in CATEGORICAL])
+    line = F.when(kind == 1, F.concat(line, F.lit(",more"))).when(kind == 2, F.substring_index(line, ",", 5)).otherwise(line)
+    path = scratch_path(spark, "damaged-csv")
+    for other, header in ((False, ",".join(names)), (True, ",".join(reversed(names)))):
+        lines = rows.where((kind == 4) == other).select(F.lit(1).alias("at"), (F.col("l_linenumber") % 3).cast("long").alias("file"), line.alias("line"))
+        heads = spark.range(3).select(F.lit(0).alias("at"), F.col("id").alias("file"), F.lit(header).alias("line"))
+        whole = lines.unionByName(heads).repartition(3, "file").sortWithinPartitions("at")
+        whole.select("line").write.mode("append").text(path)
+    return readers.read_training_csv_tolerant(spark, path, max_share=0.5, columns=names, one_line=True)
+
+
+def _training_csv_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return _damaged_csv(spark, sf).rejects.groupBy("reason", "record").agg(F.count("*").alias("records"))
+
+
+def _training_csv_kept(spark: SparkSession, sf: str) -> DataFrame:
+    return _damaged_csv(spark, sf).rows
+
+
 def _dictionary_json(spark: SparkSession, sf: str) -> DataFrame:
     """The grown dictionary, one JSON file per column, read back."""
     dictionary = materialize(_dictionary(spark, sf), "dictionary")
@@ -499,6 +532,8 @@ def queries() -> dict[str, Query]:
         "training_accuracy": _training_accuracy,
         # files
         "training_csv": _training_csv,
+        "training_csv_rejects": _training_csv_rejects,
+        "training_csv_kept": _training_csv_kept,
         "dictionary_json": _dictionary_json,
         "report_csv": _report_csv,
     } | (llm.queries() if llm else {})

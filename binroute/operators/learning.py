@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binroute.constants import LEARNING_RATE, SAMPLING, SEED, TREE_DEPTH, TREES
@@ -15,6 +15,7 @@ from binroute.sources.schemas import FEATURES
 from binroute.sources.scratch import materialize
 
 LABEL = "success_flag"
+CELLS_PER_PART = 50_000
 
 
 def training_cells(rows: DataFrame, key: Column, shards: int = 32) -> DataFrame:
@@ -28,12 +29,15 @@ def training_cells(rows: DataFrame, key: Column, shards: int = 32) -> DataFrame:
 
     The part comes from ``key``, a hash of the row's content, and the cells are
     written in an order of their own: the files that rows lie in do not matter.
+    They are dealt over as many partitions as their number asks for, not as the rows
+    did: boosting runs some thousand short jobs over them, whose tasks cost more to
+    start than to run.
     """
     part = F.pmod(key, F.lit(shards)).cast("int")
     names = [*FEATURES, LABEL]
     cells = rows.select(*names, part.alias("_part")).groupBy(*names, "_part").agg(F.count("*").alias("n"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cells.repartition(parts, *names, "_part").sortWithinPartitions(*names, "_part")
+    cells = materialize(cells, "cell-parts")
+    placed = cells.repartition(1 + cells.count() // CELLS_PER_PART, *names, "_part").sortWithinPartitions(*names, "_part")
     return materialize(placed.drop("_part"), "cells")
 
 
@@ -82,6 +86,54 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     )
 
 
+def node_table(spark: SparkSession, model_path: str) -> DataFrame:
+    """The trees of a saved model: ``tree, weight, node, feature, threshold, left, right, leaf``.
+
+    An inner node sends a row to ``left`` if the value of ``feature`` is at most
+    ``threshold``; a leaf has no feature and the value ``leaf``. Node 0 is the root.
+    """
+    stored = spark.read.parquet(f"{model_path.rstrip('/')}/stages/1_*/data").select("treeID", "nodeData.*")
+    weights = spark.read.parquet(f"{model_path.rstrip('/')}/stages/1_*/treesMetadata").select(F.col("_1").alias("tree"), F.col("_3").alias("weight"))
+    inner = F.col("leftChild") >= 0
+    names = F.array(*[F.lit(name) for name in FEATURES])
+    nodes = stored.select(
+        F.col("treeID").alias("tree"),
+        F.col("id").alias("node"),
+        F.when(inner, F.get(names, F.col("split.featureIndex"))).alias("feature"),
+        F.when(inner, F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
+        F.when(inner, F.col("leftChild")).alias("left"),
+        F.when(inner, F.col("rightChild")).alias("right"),
+        F.when(~inner, F.col("prediction")).alias("leaf"),
+    )
+    return nodes.join(weights, "tree").select("tree", "weight", *[c for c in nodes.columns if c != "tree"])
+
+
+def score_by_nodes(nodes: DataFrame, rows: DataFrame, keys: list[str], depth: int = TREE_DEPTH) -> DataFrame:
+    """``(keys, score)`` from the table of nodes alone, by joins: one level of all trees at a time.
+
+    For checking scores, and for engines that know tables and no models; ``score`` is
+    the fast way. Rows must be told apart by ``keys``. Trees deeper than ``depth`` raise.
+    """
+    nodes = materialize(nodes, "nodes")
+    values = F.map_from_arrays(F.array(*[F.lit(f) for f in FEATURES]), F.array(*[F.col(f).cast("double") for f in FEATURES]))
+    roots = nodes.groupBy("tree").agg(F.first("weight").alias("weight"))
+    trees = roots.agg(F.collect_list(F.struct("tree", "weight")).alias("trees")).scalar()  # one entry a tree
+    at = rows.select(*keys, values.alias("values"), F.explode(trees).alias("one")).select(*keys, "values", "one.tree", "one.weight", F.lit(0).alias("node"))
+    steps = nodes.drop("weight")
+    for level in range(depth + 1):
+        met = at.join(steps, ["tree", "node"])
+        goes_left = F.element_at("values", F.col("feature")) <= F.col("threshold")
+        # A row at a leaf stays there.
+        following = F.when(F.col("leaf").isNotNull(), F.col("node")).when(goes_left, F.col("left")).otherwise(F.col("right"))
+        if level == depth:
+            deeper = F.raise_error(F.lit(f"a tree is deeper than {depth}")).cast("double")
+            at = met.withColumn("leaf", F.coalesce("leaf", deeper))
+        else:
+            at = met.select(*keys, "values", "tree", "weight", following.alias("node"))
+    margin = F.sum(F.col("weight") * F.col("leaf"))
+    return at.groupBy(*keys).agg((1 / (1 + F.exp(-2 * margin))).alias("score"))
+
+
 def training_accuracy(model: PipelineModel, cells: DataFrame) -> DataFrame:
     """Share of training rows that the model gets right, from weighted cells."""
     scored = score(model, cells).withColumn("hit", (F.col("prediction") == F.col(LABEL)).cast("long") * F.col("n"))

@@ -347,6 +347,12 @@ BIN_LIST = "SELECT bin, COUNT(*) AS times FROM parsed WHERE bin IS NOT NULL GROU
 BIN_COUNTS = """SELECT COUNT(DISTINCT bin) AS valid, COUNT(bin) - COUNT(DISTINCT bin) AS duplicate,
   COUNT(*) - COUNT(bin) AS invalid FROM parsed"""
 
+DAMAGED = (
+    "lines AS (SELECT l_orderkey % 13 AS kind, concat_ws(',', CASE WHEN l_orderkey % 13 = 3 THEN concat('x', "
+    "CAST(l_linenumber AS VARCHAR)) ELSE COALESCE(CAST(bin AS VARCHAR), '') END, "
+    + ", ".join(f"COALESCE({c}, '')" for c in COLUMNS)
+    + ") AS line FROM training)"
+)
 TRAINING_COLUMNS = ("bin", *COLUMNS, "l_orderkey", "l_linenumber")
 ANTI = "NOT EXISTS (SELECT 1 FROM error_blacklist e WHERE e.error_description = t.error_description)"
 NOT_IN = f"t.error_description NOT IN ({ERRORS})"
@@ -519,9 +525,9 @@ def oracle_sql() -> dict[str, str]:
     UNION ALL SELECT 'weighted avg', SUM(precision * support) / SUM(support), SUM(recall * support) / SUM(support),
       SUM(f1 * support) / SUM(support), SUM(support) FROM classes)""",
         # learning
-        "gbt_scores": _with(*CANDIDATES) + "SELECT bin, processor_name_encoded, TRUE AS is_probability FROM candidates",
+        "gbt_scores": _with(*CANDIDATES) + "SELECT bin, processor_name_encoded, TRUE AS is_probability, TRUE AS agrees_with_nodes FROM candidates",
         "gbt_scores_unweighted": _with(*NOTEBOOK, CARDS, BINS)
-        + "SELECT b.bin, p.processor_name_encoded, TRUE AS is_probability FROM bins b CROSS JOIN proc_success p",
+        + "SELECT b.bin, p.processor_name_encoded, TRUE AS is_probability, TRUE AS agrees_with_nodes FROM bins b CROSS JOIN proc_success p",
         "training_accuracy": _with(*NOTEBOOK)
         + "SELECT CAST(COUNT(*) - CEIL(0.2::DOUBLE * COUNT(*)) AS BIGINT) AS training_rows, TRUE AS reaches_floor "
         "FROM features",
@@ -530,6 +536,14 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT bin, CASE l_linenumber % 5 WHEN 0 THEN concat('He said \"hi\", ', merchant) "
         "WHEN 1 THEN concat('two', chr(10), 'lines, ', merchant) WHEN 4 THEN concat(' ', merchant, ' ') END AS merchant, "
         "card_type, status, is_3d, currency, processor_name, project_name FROM training",
+        "training_csv_rejects": _with(TRAINING, DAMAGED)
+        + f"""SELECT reason, record, COUNT(*) AS records FROM (
+    SELECT 'fields' AS reason, concat(line, ',more') AS record FROM lines WHERE kind = 1
+    UNION ALL SELECT 'fields', array_to_string(string_split(line, ',')[1:5], ',') FROM lines WHERE kind = 2
+    UNION ALL SELECT 'bin', line FROM lines WHERE kind = 3 UNION ALL SELECT 'header', line FROM lines WHERE kind = 4
+    UNION ALL SELECT 'header', '{','.join(reversed(('bin', *COLUMNS)))}' FROM range(3)) GROUP BY 1, 2""",
+        "training_csv_kept": _with(TRAINING)
+        + f"SELECT bin, {', '.join(COLUMNS)} FROM training WHERE l_orderkey % 13 NOT IN (1, 2, 3, 4)",
         "dictionary_json": _with(*DICTIONARY) + "SELECT column_name, category, code FROM dictionary",
         "report_csv": _with(*REPORT) + "SELECT * FROM report",
         # routing
