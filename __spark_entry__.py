@@ -37,11 +37,11 @@ from binroute.sources import layout, writers  # noqa: E402
 from binroute.sources.moment_store import MomentStore  # noqa: E402
 from binroute.sources.writers import write_dictionary_json, write_report_csv  # noqa: E402
 
-try:  # the text operators are an optional part: they may be absent
+try:  # the text operators are an optional part: they, or the libraries that only they need, may be absent
     import corpus_pipeline  # noqa: F401
     from binroute.llm import registry as llm
 except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "binroute.llm"):
+    if missing.name.startswith("binroute") and not missing.name.startswith("binroute.llm"):
         raise
     llm = None
 
