@@ -28,6 +28,28 @@ def field(df, name: str, alias: str | None = None):
     return T.StructField(alias or name, df.schema[name].dataType, True)
 
 
+def set_aside(rows, used: list[str]):
+    """``rows`` with the columns ``used`` and one struct of all others, and a function that restores the columns.
+
+    What an operator adds meanwhile then clashes with none of the caller's columns.
+    The function takes the operator's result, and further columns to put at the end.
+    """
+    from pyspark.sql import functions as F
+
+    names = rows.columns
+    others = [c for c in names if c not in used]
+    name = "others_of_the_caller"
+    while name in used:
+        name += "_"
+    packed = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(True)
+    narrow = rows.select(*[F.col(f"`{c}`") for c in used], packed.alias(name))
+
+    def back(result, *more):
+        return result.select(*[F.col(name).getField(c).alias(c) if c in others else F.col(f"`{c}`") for c in names], *more)
+
+    return narrow, back
+
+
 def texts(column: pa.Array) -> pa.Array:
     """A text column without nulls; nothing is copied if it has none."""
     return pc.fill_null(column, "") if column.null_count else column

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from binroute.sources.scratch import materialize
 
-from .columns import flat, mix, row_sums, slices, texts
+from .columns import flat, mix, row_sums, set_aside, slices, texts
 
 LANGUAGES = ("en", "fr", "de", "es")
 BITS = 16
@@ -220,14 +220,16 @@ def identify(rows: DataFrame, model: Model, accepted: tuple[str, ...] | None = N
 
     A text is kept if its best class is an accepted language with at least ``least``
     posterior; one without any letter or digit has language ``und`` and is rejected.
-    Ties go to the earlier language. Rows keep their number, repeated ones too.
+    Ties go to the earlier language. Rows keep their number, repeated ones too. Other
+    columns stay; those named like a result give way to it.
     """
+    rows, back = set_aside(rows.drop("language", "posterior", "kept"), ["__text", "__declared", "__suffix", "__host"])
     scored = model.posterior(rows)
     bare = ~F.col("__text").rlike(r"[\p{L}\p{N}]")
     language = F.when(bare, "und").otherwise(best(F.col("scores"), model.languages))
     result = scored.withColumns({"language": language, "posterior": F.round(F.array_max("scores"), 6)})
     kept = F.col("language").isin(*(accepted or model.languages)) & (F.col("posterior") >= least)
-    return result.withColumn("kept", kept).drop("scores", "__text", "__declared", "__suffix", "__host")
+    return back(result, "language", "posterior", kept.alias("kept")).drop("__text", "__declared", "__suffix", "__host")
 
 
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -73,9 +73,28 @@ def test_run_gives_the_same_documents(kept, spark):
     assert {r["doc_id"] for r in found.collect()} == {r["doc_id"] for r in kept[5].collect()}
 
 
+CLASHES = [
+    "__id", "__digest", "__rows", "__text", "__own", "__node", "__first", "__cuts", "__declared", "__suffix", "__host", "__fit", "__prior",
+    "__host_name", "__sums", "__odds", "__good", "__held", "__group", "scores", "language", "posterior", "kept", "digest", "node", "class", "rank", "a.b",
+]
+
+
+def test_columns_of_any_name_stay(kept, spark):
+    """Every internal name as a column of the caller: the same rows come out, with the caller's values."""
+    from pyspark.sql import functions as F
+
+    marked = lambda df: df.withColumns({c: F.concat(F.lit(c + "/"), F.col("doc_id").cast("string")) for c in CLASHES})
+    for before, after, (name, stage) in zip(kept[:4], kept[1:5], corpus_pipeline.STAGES[:4], strict=True):
+        found = materialize(stage(spark, marked(before), SF), "clash")
+        assert found.columns == [*before.columns, *CLASHES], name
+        assert sorted(map(str, found.collect())) == sorted(map(str, marked(after).collect())), name
+    pieces = corpus_pipeline.STAGES[4][1](spark, marked(kept[4]), SF)
+    assert pieces.agg(F.sum("length")).first()[0] == kept[5].agg(F.sum("length")).first()[0]
+
+
 def test_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None
 
