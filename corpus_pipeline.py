@@ -16,34 +16,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binroute.llm import language, near_duplicates, passages, registry, resampling, workers
+from binroute.llm.columns import set_aside
 from binroute.sources.scratch import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is in an accepted language. Null, empty and letterless texts go; a null
+    ``lang`` or ``source`` is no evidence. Repeated rows share their fate, ties go to the
+    earlier language, long texts are read whole. No rows: no rows. All columns stay."""
     workers.prepare(spark)
-    rows = language.document_evidence(docs)
-    found = language.identify(rows, language.fit(rows))
-    return found.where("kept").select(*docs.columns)
+    narrow, back = set_aside(docs, ["text", "lang", "source"])
+    rows = language.document_evidence(narrow)
+    return back(language.identify(rows, language.fit(rows)).where("kept"))
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that importance resampling chooses. A null or empty text has weight 0 and is judged like
+    others; rows that tie with the last chosen one stay, equal rows share their fate. Without
+    usable labels every row stays. No rows: no rows. All columns stay."""
     workers.prepare(spark)
     labels = registry.table(spark, sf_dir, "labels")
     return resampling.fit(docs, labels, F.col("quality") == 1)[0].keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near-duplicates, that of the least id; of equal rows one. Null and
+    empty texts are one class. No rows: no rows. All columns stay."""
     workers.prepare(spark)
     return near_duplicates.keep_one(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts change, so ``n_chars`` is counted anew."""
+    """Texts without passages that another text keeps; ``n_chars`` is counted anew where there is such a column.
+
+    A row left without a word goes; null, empty and blank texts stay. Of equal long texts the
+    rows of the least id stay. No rows: no rows. All other columns stay."""
     workers.prepare(spark)
-    return passages.remove(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = passages.remove(docs)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in sequences. A null or empty text is its end id alone; repeated rows are
+    packed as often as they stand; long texts are cut into several pieces. No rows: no pieces."""
     workers.prepare(spark)
     return registry.packed(docs)
 
