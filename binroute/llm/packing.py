@@ -45,6 +45,21 @@ def _tokenizer(content: str, pattern: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=1)
+def _plain_tokenizer(content: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(content)
+
+
+def _ids(text: str, content: str, pattern: str) -> np.ndarray:
+    """Ids of a whole text. Runs of a million blanks are too long for the quicker library's pattern; the other one takes them."""
+    try:
+        return _tokenizer(content, pattern).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(_plain_tokenizer(content).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def tokenize(
     docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, capacity: int = CAPACITY,
     id_col: str = "doc_id", text_col: str = "text",
@@ -61,11 +76,10 @@ def tokenize(
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizer(content, pattern)
         for batch in batches:
             rows, starts, lengths, totals, ids = [], [], [], [], []
             for row, text in enumerate(texts(batch.column(1)).to_pylist()):
-                own = np.append(encoder.encode_to_numpy(text, allowed_special="all"), [end_id]).astype("<u4")
+                own = np.append(_ids(text, content, pattern), [end_id]).astype("<u4")
                 for start in range(0, len(own), capacity):
                     piece = own[start : start + capacity]
                     rows.append(row)

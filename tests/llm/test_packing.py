@@ -57,6 +57,16 @@ def test_every_id_once_and_no_overlap(texts):
     assert len({(r["doc_id"], r["start"], r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
 
 
+def test_long_blank_runs(texts):
+    cases = {1: "x" + " " * 2_000_000 + "x", 2: "a b" + "\n" * 1_100_000, 3: " \t" * 600_000 + "end"}
+    tokenizer = Tokenizer.from_file(PATH)
+    pieces = defaultdict(list)
+    for r in packed(texts(*cases.items())).collect():
+        pieces[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+    for doc, text in cases.items():
+        assert [i for _, own in sorted(pieces[doc]) for i in own] == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
 def test_empty_table(texts):
     assert packed(texts((1, "x")).where("doc_id > 1")).count() == 0
 
