@@ -7,13 +7,13 @@ they share these k-mers in the same order, which follows edit similarity and not
 only common content. Texts that agree in a table are candidates; a banded
 alignment of their words decides.
 
-Equal texts form one node from the start. Within a bucket each text is compared
-with two leaders, never all with all. Further rounds look at texts of different
-classes that agree in two tables, again through leaders, others each time, until
-a round joins no classes; then all texts of different classes that still share a
-bucket are compared, in one table or more. With a share J of common k-mers a pair agrees in a table
-with probability of about J^2. Scattered changes of a fifth of the words leave
-J = 0.34, and then at least one of 40 tables agrees in 99 % of pairs.
+Equal texts form one node from the start. Members of a bucket meet as
+``binroute.llm.buckets`` says: all with all in small buckets, with other ends in
+rounds in crowded ones, and at last every pair of different classes left there. Pairs must
+agree in length and in a parity bitmap of their words before they are aligned: texts at
+an edit distance of d differ in at most 2 d words. With a share J of common k-mers
+a pair agrees in a table with probability of about J^2. Scattered changes of a fifth
+of the words leave J = 0.34, and then at least one of 40 tables agrees in 99 % of pairs.
 """
 
 from __future__ import annotations
@@ -28,12 +28,16 @@ from pyspark.sql import types as T
 
 from binroute.sources.scratch import materialize
 
+from . import buckets
 from .alignment import most_edits, within
-from .columns import mix, runs, shingles, slices, text_hashes, texts
+from .columns import mix, runs, set_aside, shingles, slices, text_hashes, texts
 from .components import components
 
 WINDOW, TABLES, KEPT, SIMILARITY = 3, 40, 2, 0.8
+#: Rounds of ends in crowded buckets; ids of wanted texts that are sent to the scan.
+ROUNDS, FEW_WANTED = 1, 200_000
 _CELLS = 1 << 20
+_BITS = [f"s{i}" for i in range(8)]
 
 
 def _odd(count: int) -> np.ndarray:
@@ -76,8 +80,14 @@ def signature(words: np.ndarray, tables: int = TABLES, kept: int = KEPT, window:
     return out
 
 
+def word_bits(words: np.ndarray) -> np.ndarray:
+    """512 bits: how many words fall on each, modulo 2."""
+    odd = np.bincount((words & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, digest, n_words, signature)`` per row; one digest per different text."""
+    """``(doc_id, digest, n_words, signature, s0 .. s7)`` per row; one digest per different text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,19 +97,26 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 part = column[start:stop]
                 found = runs(part)
                 counts = np.diff(found.first)
-                rows = [signature(found.hashes[a:b]) for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
+                own = [found.hashes[a:b] for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
+                bits = np.array([word_bits(words) for words in own]).reshape(-1, len(_BITS))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[start:stop], pa.array(text_hashes(part), pa.binary()), pa.array(counts.astype(np.int32)),
-                     pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))],
-                    names=["doc_id", "digest", "n_words", "signature"],
+                     pa.array([signature(words).view(np.int64) for words in own], pa.list_(pa.int64())), *[pa.array(bits[:, i]) for i in range(len(_BITS))]],
+                    names=["doc_id", "digest", "n_words", "signature", *_BITS],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, digest binary, n_words int, signature array<long>")
+    schema = f"doc_id {kind}, digest binary, n_words int, signature array<long>, " + ", ".join(f"{s} long" for s in _BITS)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, digest, words)``: words as 16-bit hashes; two different words look alike once in 65536."""
+def _sequences(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(digest, words)`` of the texts in some pairs ``(a, b)``, words as 32-bit hashes, from one row of each text."""
     kind = docs.schema[id_col].dataType.simpleString()
+    ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+    wanted = materialize(nodes.join(ends, "digest", "left_semi").select(F.col("rep").alias("wanted_id"), F.col("digest").alias("wanted")), "wanted")
+    ids = wanted.select("wanted_id").distinct()
+    # A few ids of known number are sent to the scan; more meet the texts in a shuffle.
+    ids = F.broadcast(ids) if wanted.count() <= FEW_WANTED else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,14 +124,17 @@ def _sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for start, stop in slices(column):
                 part = column[start:stop]
                 found = runs(part)
-                small = (found.hashes >> np.uint64(48)).astype("<u2")
+                small = (found.hashes >> np.uint64(32)).astype("<u4")
                 rows = [small[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[start:stop], pa.array(text_hashes(part), pa.binary()), pa.array(rows, pa.binary())],
                     names=["doc_id", "digest", "words"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, digest binary, words binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    words = rows.mapInArrow(run, f"doc_id {kind}, digest binary, words binary")
+    mine = words.join(wanted, (F.col("digest") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    return materialize(mine.select("digest", "words").dropDuplicates(["digest"]), "words")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -132,7 +152,7 @@ def _aligned(pairs: DataFrame, similarity: float) -> DataFrame:
             left, right = batch.column(2), batch.column(3)
             good = []
             for row in range(len(batch)):
-                a, b = np.frombuffer(left[row].as_py(), "<u2"), np.frombuffer(right[row].as_py(), "<u2")
+                a, b = np.frombuffer(left[row].as_py(), "<u4"), np.frombuffer(right[row].as_py(), "<u4")
                 most = most_edits(len(a), len(b), similarity)
                 good.append(_common(a, b) >= max(len(a), len(b)) - most and within(a, b, most) is not None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -140,148 +160,73 @@ def _aligned(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "words_a", "words_b").mapInArrow(run, "a binary, b binary")
 
 
-def _alike_length(similarity: float) -> F.Column:
+def _alike(similarity: float) -> F.Column:
     longer, shorter = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
-    return longer - shorter <= longer * (1 - similarity) + 1e-9
-
-
-def _ends(orders: list[F.Column]) -> list[F.Column]:
-    """The first and last node of a group in each order."""
-    nodes = [F.struct(order.alias("order"), "digest", "n_words", "class") for order in orders]
-    return [end(node).alias(f"{name}{i}") for i, node in enumerate(nodes) for end, name in ((F.min, "first"), (F.max, "last"))]
+    return longer - shorter <= F.floor(longer * (1 - similarity) + 1e-9)
 
 
-def _led(members: DataFrame, orders: list[F.Column], similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of each member of a bucket with its leaders of other classes, of fit length."""
-    leaders = members.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), *_ends(orders)).where("x <> y")
-    ends = [F.col(f"{name}{i}") for i in range(len(orders)) for name in ("first", "last")]
-    met = members.join(leaders, "bucket").select("digest", "n_words", "class", F.explode(F.array_distinct(F.array(*ends))).alias("leader"))
-    pairs = met.where(F.col("class") != F.col("leader.class")).select(
-        F.greatest("digest", "leader.digest").alias("a"), F.least("digest", "leader.digest").alias("b"),
-        F.col("n_words").alias("n_a"), F.col("leader.n_words").alias("n_b"),
-    )
-    return pairs.where(_alike_length(similarity)).select("a", "b").distinct()
+def _may_align(similarity: float) -> F.Column:
+    """Whether texts a and b agree in length and words as far as every pair within the edit distance does."""
+    longer, shorter = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
+    most = F.floor(longer * (1 - similarity) + 1e-9)
+    unlike = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _BITS), F.lit(0))
+    # A replaced word makes two differ, an inserted or deleted one makes one differ and the lengths too.
+    return _alike(similarity) & (unlike <= 2 * most - (longer - shorter))
 
 
-def _of(words: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The words of texts in pairs, found by a broadcast if the pairs are few."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "wanted")
-    return words.join(wanted, "digest", "left_semi")
+def _checked(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Digests ``(a, b)`` of pairs of names that may align."""
+    a, b = (nodes.select(*[F.col(c).alias(f"{c}_{end}") for c in ("name", "digest", "n", *_BITS)]) for end in "ab")
+    met = pairs.join(a, "name_a").join(b, "name_b").where(_may_align(similarity))
+    return met.select(F.greatest("digest_a", "digest_b").alias("a"), F.least("digest_a", "digest_b").alias("b")).where("a <> b").distinct()
 
 
-def _verified(pairs: DataFrame, some: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The pairs that align."""
-    a = some.select(F.col("digest").alias("a"), F.col("words").alias("words_a"))
-    b = some.select(F.col("digest").alias("b"), F.col("words").alias("words_b"))
+    a = words.select(F.col("digest").alias("a"), F.col("words").alias("words_a"))
+    b = words.select(F.col("digest").alias("b"), F.col("words").alias("words_b"))
     return materialize(_aligned(pairs.join(a, "a").join(b, "b"), similarity), "links")
 
 
-def _shared(nodes: DataFrame) -> DataFrame:
-    """``(table, bucket, digest, n_words)`` of buckets that hold more than one text."""
-    spread = nodes.select("digest", "n_words", F.posexplode("signature").alias("table", "value"))
-    members = spread.select("table", F.xxhash64("table", "value").alias("bucket"), "digest", "n_words")
-    name = F.xxhash64("digest")
-    several = members.groupBy("bucket").agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x <> y").select("bucket")
-    return materialize(members.join(several, "bucket", "left_semi"), "shared-buckets")
-
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold several classes."""
-    mixed = members.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("bucket")
-    return members.join(mixed, "bucket", "left_semi")
+def _joined(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``(node, class)`` after more links."""
+    if classes is not None:
+        links = classes.where("node <> class").select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(links)
+    return materialize(components(links), "classes")
 
 
-def _two_tables(members: DataFrame) -> DataFrame:
-    """Members by agreement in two tables at most three apart."""
-    seats = members.groupBy("digest", "n_words", "class").agg(F.collect_list(F.struct("table", "bucket")).alias("seats"))  # one per table at most
-    one = seats.select("digest", "n_words", "class", "seats", F.explode("seats").alias("one"))
-    apart = F.filter("seats", lambda other: F.pmod(other["table"] - F.col("one.table"), F.lit(TABLES)).between(1, 3))
-    two = one.select("digest", "n_words", "class", "one", F.explode(apart).alias("two"))
-    return two.select(F.xxhash64("one.bucket", "two.bucket").alias("bucket"), "digest", "n_words", "class")
+def joined(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(node, class)`` of the texts, by digest, that a link joins with others.
 
+    ``nodes`` has one row per different text: ``digest, name, rep, n, signature, s0 .. s7``, with n words.
+    Only texts in pairs that may align are read again.
+    """
+    seats = nodes.select("name", "n", F.posexplode("signature").alias("table", "value"))
+    shared = buckets.shared(seats.select("name", "n", F.xxhash64("table", "value").alias("key")))
 
-def _speakers(members: DataFrame, orders: list[F.Column]) -> DataFrame:
-    """At most four members of each class in a bucket; others speak in other buckets and rounds."""
-    ends = members.groupBy("bucket", "class").agg(*_ends(orders))
-    names = [c for c in ends.columns if c not in ("bucket", "class")]
-    each = F.array_distinct(F.array(*[F.struct(f"{c}.digest", f"{c}.n_words") for c in names]))
-    return ends.select("bucket", "class", F.explode(each).alias("one")).select("bucket", "class", "one.*")
-
+    def verified(names: DataFrame) -> DataFrame:
+        pairs = materialize(_checked(names, nodes, similarity), "pairs")
+        return _verified(pairs, _sequences(docs, nodes, pairs, id_col, text_col), similarity)
 
-def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links ``(a, b)`` between different texts, by digest, that connect each class.
-
-    ``nodes`` has one row per different text: ``digest, rep, n_words, signature``.
-    Texts are read again once, and only those in shared buckets are kept aside.
-    After the first round only buckets with several classes are looked at, and
-    classes are renamed by a small table, so that later rounds are short. When leaders
-    join no more, every pair left in a bucket of several classes is compared.
-    """
-    members = _shared(nodes)
-    met = members.select("digest").distinct().join(nodes.select("digest", "rep"), "digest").withColumnsRenamed({"digest": "__d", "rep": "__r"})
-    words = _sequences(docs, id_col, text_col).join(met, (F.col("digest") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__r")))
-    words = materialize(words.select("digest", "doc_id", "words").dropDuplicates(["digest", "doc_id"]).select("digest", "words"), "words")
-    pairs = materialize(_led(members.withColumn("class", F.col("digest")), [F.lit(0)], similarity), "candidates")
-    fresh = _verified(pairs, words, similarity)
-    found = materialize(components(fresh), "classes").where("node <> class").select(F.col("node").alias("a"), F.col("class").alias("b"))
-    known = found.select(F.col("a").alias("digest"), F.col("b").alias("root"))
-    classed = members.join(known, "digest", "left").withColumn("class", F.coalesce("root", "digest")).drop("root")
-    crowd = materialize(_mixed(_two_tables(_mixed(classed))), "crowd")
-    turn = 0
-    while True:
-        turn += 1
-        orders = [F.xxhash64("bucket", "digest", F.lit(salt)) for salt in (2 * turn, 2 * turn + 1)]
-        pairs = materialize(_led(_speakers(crowd, orders), orders, similarity), "candidates")
-        fresh = _verified(pairs, _of(words, pairs), similarity)
-        if fresh.isEmpty():
-            break
-        found, merged = _joined(found, fresh)
-        crowd = materialize(crowd.join(merged, "class", "left").withColumn("class", F.coalesce("into", "class")).drop("into"), "crowd")
-    known = found.select(F.col("a").alias("digest"), F.col("b").alias("root"))
-    classed = members.join(known, "digest", "left").withColumn("class", F.coalesce("root", "digest")).drop("root")
-    pairs = materialize(_every(classed, similarity), "candidates")
-    return _joined(found, _verified(pairs, _of(words, pairs), similarity))[0]
-
-
-def _joined(found: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stars ``found`` after new links between their classes, and the classes ``(class, into)`` that these renamed."""
-    # A text's link is a link of its class; a text that is its own class is not in the table of stars.
-    ends = fresh.select(F.explode(F.array("a", "b")).alias("a"))
-    roots = materialize(found.join(ends, "a", "left_semi"), "roots")
-    of_a = roots.select("a", F.col("b").alias("a_root"))
-    of_b = roots.select(F.col("a").alias("b"), F.col("b").alias("b_root"))
-    named = fresh.join(of_a, "a", "left").join(of_b, "b", "left")
-    joined = named.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    merged = components(joined).where("node <> class").select(F.col("node").alias("class"), F.col("class").alias("into"))
-    merged = materialize(merged, "merged")
-    moved = found.join(merged.withColumnRenamed("class", "b"), "b", "left").select("a", F.coalesce("into", "b").alias("b"))
-    return materialize(moved.unionByName(merged.select(F.col("class").alias("a"), F.col("into").alias("b"))), "stars"), merged
-
-
-def _every(classed: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``(a, b)`` of members of different classes in a bucket, of fit length.
-
-    Classes of a bucket are paired before their members, so that a large class is
-    never laid over itself.
-    """
-    mixed = materialize(_mixed(classed).select("bucket", "class", "digest", "n_words"), "mixed")
-    kinds = mixed.select("bucket", "class").distinct()
-    both = kinds.withColumnRenamed("class", "class_a").join(kinds.withColumnRenamed("class", "class_b"), "bucket").where("class_a < class_b")
-    left = mixed.select("bucket", F.col("class").alias("class_a"), F.col("digest").alias("x"), F.col("n_words").alias("n_a"))
-    right = mixed.select("bucket", F.col("class").alias("class_b"), F.col("digest").alias("y"), F.col("n_words").alias("n_b"))
-    met = both.join(left, ["bucket", "class_a"]).join(right, ["bucket", "class_b"]).where(_alike_length(similarity))
-    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    classes = _joined(None, verified(buckets.near_pairs(shared, _alike(similarity))))
+    crowded = buckets.classed(shared, nodes, classes)
+    for salt in range(ROUNDS):
+        classes = _joined(classes, verified(buckets.end_pairs(crowded, _alike(similarity), salt)))
+        crowded = buckets.classed(shared, nodes, classes)
+    return _joined(classes, verified(buckets.every_pair(crowded, nodes, ["n", *_BITS], _may_align(similarity))))
 
 
 def _classed(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Sketches of the rows, and ``(digest, class_id, class_size, kept)`` of the texts; one text per class is kept."""
     sketched = materialize(sketches(docs, id_col, text_col), "sketches")
     nodes = materialize(
-        sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("copies")),
+        sketched.groupBy("digest")
+        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n"), *[F.first(c).alias(c) for c in ("signature", *_BITS)])
+        .withColumn("name", F.xxhash64("digest")),
         "texts",
     )
-    joined = components(links(docs, nodes, similarity, id_col, text_col)).withColumnsRenamed({"node": "digest", "class": "root"})
-    rooted = nodes.select("digest", "rep", "copies").join(joined, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    classes = joined(docs, nodes, similarity, id_col, text_col).withColumnsRenamed({"node": "digest", "class": "root"})
+    rooted = nodes.select("digest", "rep", "copies").join(classes, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest"))
     named = rooted.groupBy("root").agg(least.alias("least"), F.sum("copies").alias("class_size"))
     by_text = rooted.select("digest", "root").join(named, "root")
@@ -302,16 +247,21 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class: that of its least id. Columns stay; of equal rows one stays."""
+    """One row of each class: that of its least id, the text with the least digest among several of that id.
+
+    Columns stay as they are, whatever their names; of equal rows one stays. Null and
+    empty texts are one class. No rows: no rows.
+    """
     sketched, by_text = _classed(docs, similarity, id_col, text_col)
     kept = sketched.join(by_text.where("kept").select(F.col("digest").alias("__digest"), "class_id"), F.col("digest") == F.col("__digest"))
     kept = kept.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("__id"), "__digest").agg(F.count(F.lit(1)).alias("__rows"))
     kept = materialize(kept, "kept")
-    marked = docs.withColumn("__text", digest(F.col(text_col)))
+    rows, back = set_aside(docs, [id_col, text_col])
+    marked = rows.withColumn("__text", digest(F.col(text_col)))
     chosen = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest")))
     if not kept.where("__rows > 1").isEmpty():
         chosen = chosen.dropDuplicates(["__id", "__digest"])
-    return chosen.select(*docs.columns)
+    return back(chosen)
 
 
 @F.arrow_udf(T.BinaryType())
