@@ -13,11 +13,13 @@ The boundary between small and large is the size at which enumerating all
 subsets costs more than scanning the lists, by the sizes of all sets and by the
 mean length of the lists (``boundary``). Neither side loses a pair.
 
-Links are wanted for their connected classes. Members of a bucket first meet the
-bucket's two ends; classes joined so are not laid over themselves again. Then all
-pairs of different classes left in a bucket meet, hot buckets in salted blocks.
-Pairs must agree in length and in a parity bitmap, whose differing bits are a
-lower bound of the symmetric difference; what is left is verified on the sets.
+Links are wanted for their connected classes; ``binroute.llm.buckets`` says which
+members of a bucket meet for that. Pairs must agree in length and in two parity
+bitmaps, whose differing bits are a lower bound of the symmetric difference: a
+short one within the joins, then one that grows with the set, so that long sets
+are told apart as well. What is left is verified on the sets. While candidates are
+searched, sets go by 64-bit names. Two sets of one name are both looked at; only if
+they stood in one bucket could a pair be missed.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from binroute.sources.scratch import materialize
 
+from . import buckets
 from .columns import flat, mix, runs, shingles, slices, texts
 from .components import components
 
@@ -41,7 +44,8 @@ WORDS, PERCENT, SUBSET = 4, 85, 2
 FREQUENT, MOST_FREQUENT = 1 / 2000, 1 << 18
 #: One of so many tokens is counted for the mean length of lists; a partner costs so many rows; largest small set.
 SAMPLED, PARTNER_COST, MOST_SMALL = 64, 4, 512
-_BLOCK, _FEW_WANTED, _WINDOW = 4096, 200_000, 1 << 22
+#: Rounds of ends in crowded buckets after the first; ids of wanted texts that are sent to the scan; tokens counted at once.
+_ROUNDS, _FEW_WANTED, _WINDOW = 1, 200_000, 1 << 22
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SKETCH = ["s0", "s1", "s2", "s3"]
@@ -159,8 +163,25 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def wide(tokens: np.ndarray) -> bytes:
+    """As ``sketch``, with as many bits as the set has tokens, rounded up to a power of two."""
+    bits = 1 << max(6, (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def unlike_bits(a: bytes, b: bytes) -> int:
+    """Differing bits of two wide bitmaps; the longer one is folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _described(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, bound: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """``(doc_id, digest, n, keys, s0 .. s3)`` of every row; no digest without words."""
+    """``(doc_id, digest, n, keys, wide, s0 .. s3)`` of every row; no digest without words."""
     import xxhash
 
     told = docs.sparkSession.sparkContext.broadcast((frequent, rank))
@@ -176,54 +197,42 @@ def _described(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[start:stop], pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
                      pa.array([len(x) for x in sets], pa.int64()), pa.array([keys_of(x, bound, late, order, percent) for x in sets], pa.list_(pa.int64())),
-                     *[pa.array(bits[:, i]) for i in range(4)]],
-                    names=["doc_id", "digest", "n", "keys", *_SKETCH],
+                     pa.array([wide(x) for x in sets], pa.binary()), *[pa.array(bits[:, i]) for i in range(4)]],
+                    names=["doc_id", "digest", "n", "keys", "wide", *_SKETCH],
                 )
 
-    schema = f"doc_id {kind}, digest binary, n long, keys array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
+    schema = f"doc_id {kind}, digest binary, n long, keys array<long>, wide binary, " + ", ".join(f"{s} long" for s in _SKETCH)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def _alike(percent: int) -> F.Column:
+    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+
+
 def _may_link(percent: int) -> F.Column:
-    """Whether members a and b agree in length and bitmap."""
-    fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    """Whether sets a and b agree in length and bitmap."""
     both = F.col("n_a") + F.col("n_b")
     overlap = F.floor((percent * both + (99 + percent)) / (100 + percent))
     unlike = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _SKETCH), F.lit(0))
-    return fit & (unlike <= both - 2 * overlap)
-
-
-def _named(rows: DataFrame, end: str, *more: str) -> DataFrame:
-    return rows.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("digest", "n", *_SKETCH, *more)])
+    return _alike(percent) & (unlike <= both - 2 * overlap)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("digest_a", "digest_b").alias("a"), F.least("digest_a", "digest_b").alias("b")).distinct()
-
-
-def _with_ends(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each member with the first and last of its bucket."""
-    facts = F.struct("digest", "n", *_SKETCH)
-    ends = members.groupBy("key").agg(F.min(facts).alias("first"), F.max(facts).alias("last"))
-    each = ends.select("key", F.explode(F.array("first", "last")).alias("end")).select("key", "end.*")
-    met = _named(members, "a").join(_named(each, "b"), "key").where((F.col("digest_a") != F.col("digest_b")) & _may_link(percent))
-    return _ordered(met)
+def _checked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Digests ``(a, b)`` of pairs of names that may be linked by both of their bitmaps."""
+    facts = ("name", "digest", "n", "wide", *_SKETCH)
+    one, two = (nodes.select(*[F.col(c).alias(f"{c}_{end}") for c in facts]) for end in "ab")
+    met = pairs.join(one, "name_a").join(two, "name_b").where(_may_link(percent) & (F.col("digest_a") != F.col("digest_b")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                overlap = -(-percent * (n + m) // (100 + percent))
+                good.append(unlike_bits(x, y) <= n + m - 2 * overlap)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-def _of_different_classes(members: DataFrame, classes: DataFrame, bound: int, percent: int) -> DataFrame:
-    """All pairs of members of different classes in a bucket; of a list only those with a large set."""
-    known = classes.select(F.col("node").alias("digest"), "class")
-    classed = members.join(known, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
-    classed = materialize(classed, "classed")
-    mixed = classed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("crowd")).where("x <> y")
-    blocks = mixed.select("key", F.ceil(F.col("crowd") / _BLOCK).cast("int").alias("blocks"))
-    left = classed.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    left = materialize(left, "mixed")
-    right = left.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    a, b = _named(left, "a", "class", "block"), _named(right, "b", "class", "block").withColumnRenamed("key", "key_b")
-    large = (F.col("key").bitwiseAND(F.lit(1)) == 0) | (F.greatest("n_a", "n_b") >= bound)
-    meet = (F.col("key") == F.col("key_b")) & (F.col("block_a") == F.col("block_b")) & (F.col("digest_a") > F.col("digest_b"))
-    return _ordered(a.join(b, meet & (F.col("class_a") != F.col("class_b")) & large & _may_link(percent)))
+    found = met.select("digest_a", "digest_b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(run, "a binary, b binary")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _wanted_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -268,6 +277,13 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a binary, b binary"), "links")
 
 
+def _joined(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``(node, class)`` after more links."""
+    if classes is not None:
+        links = classes.where("node <> class").select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(links)
+    return materialize(components(links), "classes")
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``.
 
@@ -295,22 +311,23 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     bound = boundary(sizes, lists or 0.0, percent)
 
     rows = materialize(_described(docs, id_col, text_col, words, percent, bound, frequent, rank), "rows")
-    facts = [F.first(c).alias(c) for c in ("n", "keys", *_SKETCH)]
-    nodes = materialize(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), *facts), "nodes")
-    seats = nodes.select("digest", "n", F.explode("keys").alias("key"))
-    useful = (F.col("key").bitwiseAND(F.lit(1)) == 0) | (F.col("largest") >= bound)
-    several = seats.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.max("n").alias("largest")).where((F.col("crowd") > 1) & useful)
-    shared = materialize(seats.select("key", "digest").join(several.select("key"), "key", "left_semi"), "shared")
-    members = materialize(shared.join(nodes.drop("keys", "rep"), "digest"), "members")
-
-    pairs = materialize(_with_ends(members, percent), "pairs")
-    found = _links(pairs, _wanted_sets(docs, nodes, pairs, id_col, text_col, words), percent)
-    classes = materialize(components(found), "classes")
-    rest = _of_different_classes(members, classes, bound, percent).join(pairs, ["a", "b"], "left_anti")
-    rest = materialize(rest, "pairs")
-    more = _links(rest, _wanted_sets(docs, nodes, rest, id_col, text_col, words), percent)
-    stars = classes.where("node <> class").select(F.col("node").alias("a"), F.col("class").alias("b"))
-    joined = components(stars.unionByName(more))
+    some, name = rows.where("n > 0"), F.xxhash64("digest")
+    facts = [F.first(c).alias(c) for c in ("n", "wide", *_SKETCH)]
+    nodes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), *facts).withColumn("name", name), "nodes")
+    shared = buckets.shared(some.select(name.alias("name"), "n", F.explode("keys").alias("key")))
+
+    def verified(names: DataFrame) -> DataFrame:
+        pairs = materialize(_checked(names, nodes, percent), "pairs")
+        return _links(pairs, _wanted_sets(docs, nodes, pairs, id_col, text_col, words), percent)
+
+    classes = _joined(None, verified(buckets.near_pairs(shared, _alike(percent))))
+    crowded = buckets.classed(shared, nodes, classes)
+    for salt in range(_ROUNDS):
+        classes = _joined(classes, verified(buckets.end_pairs(crowded, _alike(percent), salt)))
+        crowded = buckets.classed(shared, nodes, classes)
+    # Two small sets meet by subsets; that they stand in one inverted list too says nothing.
+    useful = (F.col("key").bitwiseAND(F.lit(1)) == 0) | (F.greatest("n_a", "n_b") >= bound)
+    joined = _joined(classes, verified(buckets.every_pair(crowded, nodes, ["n", *_SKETCH], useful & _may_link(percent))))
 
     rooted = nodes.select("digest", "rep").join(joined.withColumnRenamed("node", "digest"), "digest", "left").withColumn("class", F.coalesce("class", "digest"))
     least = rooted.groupBy("class").agg(F.min("rep").alias("component_id"))

@@ -1,5 +1,6 @@
 import math
 import re
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 from llm_helpers import ODD, SF
 
-from binroute.llm import registry, set_join
+from binroute.llm import buckets, registry, set_join
 
 
 def shingled(text, words=4):
@@ -69,8 +70,11 @@ def test_equals_all_pairs(spark, texts):
     assert joined(texts(*rows)) == brute(rows)
 
 
-def test_one_family_that_shares_a_template(spark, texts, monkeypatch):
-    monkeypatch.setattr(set_join, "_BLOCK", 16)
+@pytest.mark.parametrize("crowd", [1, 12])
+def test_one_family_that_shares_a_template(spark, texts, monkeypatch, crowd):
+    for name in ("near_pairs", "classed"):
+        monkeypatch.setattr(buckets, name, partial(getattr(buckets, name), crowd=crowd))
+    monkeypatch.setattr(buckets, "every_pair", partial(buckets.every_pair, block=16))
     monkeypatch.setattr(set_join, "FREQUENT", 1 / 20)
     rng = np.random.default_rng(4)
     rows = corpus(rng, 1, 150, [150]) + corpus(rng, 1, 150, [40])
@@ -101,9 +105,18 @@ def test_prefixes_and_subsets_lose_no_pair():
                 assert keys[0] & keys[1]
                 bits = (set_join.sketch(a) ^ set_join.sketch(b)).view(np.uint8)
                 assert np.unpackbits(bits).sum() <= len(a) + len(b) - 2 * shared
+                assert set_join.unlike_bits(set_join.wide(a), set_join.wide(b)) <= len(a) + len(b) - 2 * shared
     assert not len(set_join.keys_of(np.arange(5, dtype=np.uint64), 20, none, none))
 
 
+def test_wide_bitmaps_tell_long_sets_apart():
+    rng = np.random.default_rng(1)
+    for n in (100, 1000, 1025, 20000):
+        a, b = (np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64)) for size in (n, n - n // 20))
+        assert set_join.unlike_bits(set_join.wide(a), set_join.wide(b)) > 0.3 * n
+        assert set_join.unlike_bits(set_join.wide(a), set_join.wide(a)) == 0
+
+
 def test_boundary_follows_cost():
     sizes = {n: 100 for n in range(1, 400)}
     assert set_join.boundary(sizes, 0.0) == set_join.smallest() == 6  # nothing to gain from subsets
