@@ -10,12 +10,29 @@ from binroute.constants import ERROR_BLACKLIST
 AS_OF = "2001-06-15"
 EXTERNAL = ("EXT-0", "EXT-1")
 PROCESSOR_SEED = {"PROC-02": 0, "PROC-03": 1, "EXT-0": 4}
+#: Lines in one partition, about; a task's memory is that of so many lines however large the table is.
+LINES_PER_PART = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _lines_with(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Lines with their orders; many lines are dealt by order over as many partitions as they ask for.
+
+    What groups or joins by order afterwards stays in these partitions, so a task's
+    memory does not grow with the table. Few lines are left to Spark.
+    """
+    spark = lines.sparkSession
+    parts = -(-lines.count() // LINES_PER_PART)
+    if parts > spark.sparkContext.defaultParallelism:
+        # With fewer partitions than Spark's own, its joins would shuffle once more.
+        parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        lines, orders = lines.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def _processor() -> Column:
     lane = F.col("l_suppkey") % 20
     return (
@@ -39,7 +56,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     kind = (F.col("l_partkey") % 100).cast("int")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+    return _lines_with(lines, orders).select(
         F.col("l_orderkey").alias("txid"),
         _processor().alias("processor_name"),
         _status().alias("status"),
@@ -78,9 +95,10 @@ def training(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     holders = table(spark, sf_dir, "customer")
     currency = F.col("l_linenumber") % 3
+    # Orders meet their holders first: they are far fewer than lines, which are then shuffled once.
+    owned = orders.join(holders, orders.o_custkey == holders.c_custkey)
     return (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(holders, orders.o_custkey == holders.c_custkey)
+        _lines_with(lines, owned)
         .where((F.col("o_custkey") % 70 + F.col("l_suppkey") % 20) % 11 != 0)
         .select(
             F.when(F.col("o_custkey") % 71 != 3, 400000 + F.col("o_custkey") % 70).cast("long").alias("bin"),
