@@ -64,10 +64,12 @@ def stratified_split(
     ``order_key`` is a whole number in [0, 2^32), a hash of the row's content.
     Rows with the key at the cut are ordered by their other columns; copies of
     one row are interchangeable, so the result does not depend on files or
-    partitions. ``rows`` is counted once by the leading digits of the key and
-    read once for the rows that share the cut's digits; it is not written.
+    partitions. ``rows`` is computed once and written with its key: it is read
+    for the counts by leading digits, for the rows that share the cut's digits and
+    for the result, and each of these would repeat the joins behind it.
     """
-    keyed = rows.withColumn("_key", order_key.cast("long")).withColumn("_high", F.shiftright("_key", DIGIT_BITS))
+    written = materialize(rows.withColumn("_key", order_key.cast("long")), "keyed")
+    keyed = written.withColumn("_high", F.shiftright("_key", DIGIT_BITS))
     # The counts per digit are written: at most 2^16 rows per class, and read more than once.
     high = materialize(keyed.groupBy(label, "_high").agg(F.count("*").alias("n")), "high")
     quotas = materialize(class_quotas(high, label, fraction), "quotas")

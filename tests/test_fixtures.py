@@ -5,6 +5,7 @@ from helpers import tuples
 from pyspark.sql import functions as F
 
 from binroute import fixtures as fx
+from binroute.operators import split
 
 
 @pytest.fixture
@@ -31,3 +32,11 @@ def test_a_task_sees_no_more_of_a_larger_table(spark, tables, monkeypatch, build
     counts = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(counts) > 20 and max(counts) < 300
     assert tuples(rows) == whole
+
+
+def test_split_computes_its_rows_once(spark, tmp_path):
+    spark.range(1000).select("id", (F.col("id") % 3 == 0).cast("int").alias("y")).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    done = split.stratified_split(rows, "y", F.xxhash64("id").bitwiseAND(0xFFFFFFFF))
+    assert not set(rows.inputFiles()) & set(done.inputFiles())
+    assert done.count() == 1000 and done.where("is_holdout").count() == 200
