@@ -382,11 +382,12 @@ def _damaged_csv(spark: SparkSession, sf: str) -> readers.Loaded:
     line = F.concat_ws(",", number, *[F.coalesce(c, F.lit("")) for c in CATEGORICAL])
     line = F.when(kind == 1, F.concat(line, F.lit(",more"))).when(kind == 2, F.substring_index(line, ",", 5)).otherwise(line)
     path = scratch_path(spark, "damaged-csv")
-    for other, header in ((False, ",".join(names)), (True, ",".join(reversed(names)))):
-        lines = rows.where((kind == 4) == other).select(F.lit(1).alias("at"), (F.col("l_linenumber") % 3).cast("long").alias("file"), line.alias("line"))
-        heads = spark.range(3).select(F.lit(0).alias("at"), F.col("id").alias("file"), F.lit(header).alias("line"))
-        whole = lines.unionByName(heads).repartition(3, "file").sortWithinPartitions("at")
-        whole.select("line").write.mode("append").text(path)
+    # As many files as the rows have partitions, each under its header; no task sees more than its partition.
+    known = rows.where(kind != 4).select(line.alias(",".join(names)))
+    known.write.option("header", True).option("sep", "\u0001").option("quote", "").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(path)
+    # Three files begin with another header, the others of these lines have none.
+    heads = spark.range(0, 3, 1, 3).select(F.lit(",".join(reversed(names))).alias("line"))
+    heads.unionByName(rows.where(kind == 4).select(line.alias("line"))).write.mode("append").text(path)
     return readers.read_training_csv_tolerant(spark, path, max_share=0.5, columns=names, one_line=True)
 
 

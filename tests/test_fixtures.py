@@ -4,8 +4,10 @@ import pytest
 from helpers import tuples
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from binroute import fixtures as fx
 from binroute.operators import split
+from binroute.sources import readers
 
 
 @pytest.fixture
@@ -34,6 +36,23 @@ def test_a_task_sees_no_more_of_a_larger_table(spark, tables, monkeypatch, build
     assert tuples(rows) == whole
 
 
+def test_damaged_files_follow_the_partitions(spark, tables, monkeypatch):
+    monkeypatch.setattr(fx, "LINES_PER_PART", 100)
+    loaded = entry._damaged_csv(spark, tables)
+    assert loaded.rejects.select("file").distinct().count() > 12
+    heads = loaded.rejects.where((F.col("reason") == "header") & F.col("record").startswith("project_name"))
+    assert heads.count() == 3
+    kept = fx.training(spark, tables).where(~(F.col("l_orderkey") % 13).isin(1, 2, 3, 4))
+    assert tuples(loaded.rows) == tuples(kept.select(*loaded.rows.columns))
+
+
+def test_records_are_not_dealt_by_file(spark, tmp_path, capsys):
+    (tmp_path / "t.csv").write_text("bin,status\n1,approved\n2,declined\n")
+    readers.read_csv_tolerant(spark, str(tmp_path / "t.csv"), one_line=True).explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(_file" not in plan
+
+
 def test_split_computes_its_rows_once(spark, tmp_path):
     spark.range(1000).select("id", (F.col("id") % 3 == 0).cast("int").alias("y")).write.parquet(f"{tmp_path}/rows")
     rows = spark.read.parquet(f"{tmp_path}/rows")
