@@ -383,11 +383,12 @@ def _damaged_csv(spark: SparkSession, sf: str) -> readers.Loaded:
     line = F.when(kind == 1, F.concat(line, F.lit(",more"))).when(kind == 2, F.substring_index(line, ",", 5)).otherwise(line)
     path = scratch_path(spark, "damaged-csv")
     # As many files as the rows have partitions, each under its header; no task sees more than its partition.
-    known = rows.where(kind != 4).select(line.alias(",".join(names)))
+    headed = (kind != 4) & F.col("l_linenumber").isNotNull()
+    known = rows.where(headed).select(line.alias(",".join(names)))
     known.write.option("header", True).option("sep", "\u0001").option("quote", "").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(path)
-    # Three files begin with another header, the others of these lines have none.
+    # Three files hold another header, those of the lines of kind 4 and of lines without a number have none.
     heads = spark.range(0, 3, 1, 3).select(F.lit(",".join(reversed(names))).alias("line"))
-    heads.unionByName(rows.where(kind == 4).select(line.alias("line"))).write.mode("append").text(path)
+    heads.unionByName(rows.where(~headed).select(line.alias("line"))).write.mode("append").text(path)
     return readers.read_training_csv_tolerant(spark, path, max_share=0.5, columns=names, one_line=True)
 
 
