@@ -15,5 +15,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        # Plans show their filters whole, however many digits a column's number has.
+        .config("spark.sql.maxMetadataStringLength", "1000")
         .getOrCreate()
     )
