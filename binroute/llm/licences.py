@@ -70,8 +70,16 @@ CONFIRMED = 0.6
 _WORD = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
 
 
-#: Marks of comments before and after the words of a line.
-_MARKS = r"^\s*(?:<!--|/\*+|\*+/|\*+|//+[!/]*|#+|--+|;+|%+|>+|\.\.|(?i:rem|dnl)\b)?\s*|\s*(?:\*+/|-->|\*+|#+)?\s*$"
+#: Marks of comments before and after the words of a line, and the characters that a line with such marks or blanks begins or ends with.
+_BEFORE, _AFTER = r"^\s*(?:<!--|/\*+|\*+/|\*+|//+[!/]*|#+|--+|;+|%+|>+|\.\.|(?i:rem|dnl)\b)?\s*", r"\s*(?:\*+/|-->|\*+|#+)?\s*$"
+_BLANKS = " \t\n\x0b\f\r"
+_STARTS, _ENDS = [*_BLANKS, *"</*#-;%>.rRdD"], [*_BLANKS, *"/>*#", "\x85", "\u2028", "\u2029"]
+
+
+def _unmarked(line: Column) -> Column:
+    """A line with a letter, without comment marks; few lines begin or end so that they could have any."""
+    bare = F.when(F.substring(line, 1, 1).isin(*_STARTS), F.regexp_replace(line, _BEFORE, "")).otherwise(line)
+    return F.when(F.substring(line, -1, 1).isin(*_ENDS), F.regexp_replace(bare, _AFTER, "")).otherwise(bare)
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,14 +93,15 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bare = F.transform(lines, lambda line, i: F.when(line.rlike(r"\p{L}"), F.concat(i.cast("string"), F.lit("\x01"), line)).otherwise(""))
     blocks = docs.select(F.col(id_col), F.explode(F.split(F.array_join(bare, "\n"), "\n{2,}")).alias("__block"))
     numbered = F.filter(F.split("__block", "\n"), lambda line: line != "")
-    parts = F.transform(numbered, lambda line: F.struct(F.regexp_extract(line, "^([0-9]+)\x01", 1).cast("long").alias("paragraph"), F.regexp_replace(line, "^[0-9]+\x01", "").alias("text")))
-    rows = blocks.select(F.col(id_col), parts.alias("__lines")).where(F.size("__lines") > 0)
-    whole = F.array_join(F.transform("__lines", lambda line: F.regexp_replace(line["text"], _MARKS, "")), " ")
-    first = F.col("__lines")[0]["paragraph"]
-    run = F.array(F.struct(first.alias("paragraph"), whole.alias("text"), F.lit(True).alias("wrapped")))
+    parts = F.transform(numbered, lambda line: F.struct(F.substring_index(line, "\x01", 1).cast("long").alias("paragraph"), line.substr(F.instr(line, "\x01") + 1, F.length(line)).alias("text")))
+    # A run is joined once, below the explode; above it, every line of the run would join it again.
+    rows = blocks.where(~F.col("__block").isin("", "\n")).select(F.col(id_col), parts.alias("__lines"))
+    rows = rows.withColumn("__whole", F.array_join(F.transform("__lines", lambda line: _unmarked(line["text"])), " "))
+    rows = rows.select(id_col, "__lines", "__whole", F.col("__lines")[0]["paragraph"].alias("__run"), F.xxhash64("__whole").alias("__block"))
+    run = F.array(F.struct(F.col("__run").alias("paragraph"), F.col("__whole").alias("text"), F.lit(True).alias("wrapped")))
     own = F.transform("__lines", lambda line: F.struct(line["paragraph"].alias("paragraph"), line["text"].alias("text"), F.lit(False).alias("wrapped")))
     every = F.when(F.size("__lines") > 1, F.concat(own, run)).otherwise(own)
-    named = rows.select(F.col(id_col), first.alias("__run"), F.xxhash64(whole).alias("__block"), F.explode(every).alias("__p"))
+    named = rows.select(id_col, "__run", "__block", F.explode(every).alias("__p"))
     return named.select(id_col, "__p.paragraph", "__p.text", "__run", "__block", F.col("__p.wrapped").alias("__wrapped"))
 
 
@@ -149,9 +158,10 @@ class Scanner:
         A run of lines is reported if none of its lines is confirmed alone.
         """
         scored = self.model.transform(vectors(paragraphs(docs, id_col, text_col)))
-        chances = scored.withColumn("p", vector_to_array("probability")).select(id_col, "paragraph", "text", "__run", "__block", "__wrapped", "p")
+        # A filter is not pushed below a row number: it would repeat tokenizer, n-grams and model for each of its conditions.
+        chances = scored.select(id_col, "paragraph", "text", "__run", "__block", "__wrapped", vector_to_array("probability").alias("p"), F.monotonically_increasing_id().alias("__row"))
         known = F.slice("p", 1, len(TEMPLATES))
-        best = chances.withColumn("probability", F.array_max(known)).where((F.col("probability") >= self.bar) & (F.array_max("p") == F.col("probability")))
+        best = chances.withColumn("probability", F.array_max(known)).where((F.col("__row") >= 0) & (F.col("probability") >= self.bar) & (F.array_max("p") == F.col("probability")))
         family = F.element_at(F.lit(list(TEMPLATES)), F.array_position(known, F.col("probability")).cast("int"))
         claimed = best.select(id_col, "paragraph", "text", "__run", "__block", "__wrapped", family.alias("family"), F.round("probability", 6).alias("probability"))
         alone = F.max(F.col("confirmed") & ~F.col("__wrapped")).over(Window.partitionBy(id_col, "__run", "__block"))  # lines of one run
@@ -185,10 +195,11 @@ def train(docs: DataFrame, text_col: str = "text", background: int = BACKGROUND)
     licences or copyright are not used as background.
     """
     spark = docs.sparkSession
-    lines = paragraphs(docs.withColumn("__id", F.lit(0)), "__id", text_col).select("text").where(~F.lower("text").rlike("licen[cs]e|copyright|creative commons|spdx|redistribut"))
     few = F.xxhash64("text")
     every = max(1, docs.count() // background)  # a document has several paragraphs
-    chosen = lines.where(F.pmod(few, F.lit(every)) == 0)
+    # Hashes first: few paragraphs then meet the words.
+    lines = paragraphs(docs.withColumn("__id", F.lit(0)), "__id", text_col).select("text").where(F.pmod(few, F.lit(every)) == 0)
+    chosen = lines.where(~F.lower("text").rlike("licen[cs]e|copyright|creative commons|spdx|redistribut"))
     other = chosen.select("text", few.alias("h")).distinct().orderBy("h").limit(background).select("text")
     named = spark.createDataFrame([(t,) for t in OTHER], "text string")
     rows = statements(spark).unionByName(other.unionByName(named).withColumn("family", F.lit(UNKNOWN)))

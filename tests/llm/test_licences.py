@@ -3,6 +3,7 @@ import textwrap
 
 import pytest
 from llm_helpers import ODD
+from pyspark.sql import functions as F
 
 from binroute.llm import licences
 
@@ -79,3 +80,31 @@ def test_odd_rows(texts, scanner):
 def test_no_python_in_the_plan(documents, scanner):
     plan = scanner.scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_marks_are_those_of_the_whole_pattern(spark):
+    """Lines that cannot begin or end with marks skip the patterns; the others lose what one pattern of both finds."""
+    marks = r"^\s*(?:<!--|/\*+|\*+/|\*+|//+[!/]*|#+|--+|;+|%+|>+|\.\.|(?i:rem|dnl)\b)?\s*|\s*(?:\*+/|-->|\*+|#+)?\s*$"
+    words = ("a", "rem", "Rem x", "REMARK", "dnl y", "Done", "red", "é", "a-->b", "x */ y")
+    edges = ("", " ", "\t", "/* ", "*/", "//! ", "# ", "-- ", "-->", "<!-- ", ";;", "%", ">", ".. ", ".", "\x0b", "\r", "\x85", "\u2028", "\u2029", "\u00a0", "/", "-")
+    rows = spark.createDataFrame([(f"{a}{w}{b}",) for a in edges for w in words for b in edges], "line string")
+    both = rows.select("line", licences._unmarked(F.col("line")).alias("mine"), F.regexp_replace("line", marks, "").alias("plain"))
+    assert both.where(~F.col("mine").eqNullSafe(F.col("plain"))).collect() == []
+
+
+def test_a_run_is_joined_once_and_a_paragraph_scored_once(documents, scanner, capsys):
+    scanner.scan(documents).explain()
+    plan = capsys.readouterr().out
+    filters = [line for line in plan.splitlines() if "Filter (" in line]
+    assert filters and not any("UDF(" in line for line in filters)
+    assert "xxhash64(__whole" in plan and "xxhash64(array_join" not in plan
+
+
+def test_lines_keep_their_numbers(spark):
+    text = "\n\nfirst \x01 1\x01\n# second\n--\n\n12\x01x\n\n \n/* last */"
+    rows = licences.paragraphs(spark.createDataFrame([(1, text), (2, "\n"), (3, ""), (4, None)], "doc_id int, text string"))
+    got = sorted((r["doc_id"], r["paragraph"], r["text"], r["__run"], r["__wrapped"]) for r in rows.collect())
+    assert got == [
+        (1, 2, "first \x01 1\x01", 2, False), (1, 2, "first \x01 1\x01 second", 2, True), (1, 3, "# second", 2, False),
+        (1, 6, "12\x01x", 6, False), (1, 9, "/* last */", 9, False),
+    ]
