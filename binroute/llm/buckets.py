@@ -37,14 +37,20 @@ def _end(rows: DataFrame, end: str, *names: str) -> DataFrame:
     return rows.select("key", *[F.col(c).alias(f"{c}_{end}") for c in names])
 
 
-def near_pairs(seats: DataFrame, alike: Column, crowd: int = CROWD) -> DataFrame:
-    """``(name_a, name_b)`` of all pairs in the smaller buckets, and of members of crowded ones with the ends of their bucket."""
+def near_pairs(seats: DataFrame, alike: Column, crowd: int = CROWD, nodes: DataFrame | None = None, facts: Sequence[str] = (), fit: Column | None = None) -> DataFrame:
+    """``(name_a, name_b)`` of all pairs in the smaller buckets, and of members of crowded ones with the ends of their bucket.
+
+    The latter are told only if they fulfil ``fit`` on the facts of ``nodes``, where given.
+    """
     small, crowded = seats.where(F.col("crowd") <= crowd), seats.where(F.col("crowd") > crowd)
+    facts = [c for c in facts if c != "n"]
+    if nodes is not None:
+        crowded = materialize(crowded.join(nodes.select("name", *facts), "name"), "crowded-facts")
     met = _end(small, "a", "name", "n").join(_end(small, "b", "name", "n"), "key").where((F.col("name_a") > F.col("name_b")) & alike)
-    order = F.struct("name", "n")
+    order = F.struct("name", "n", *facts)
     ends = crowded.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high"))
-    each = ends.select("key", F.explode(F.array("low", "high")).alias("end")).select("key", F.col("end.name").alias("name_b"), F.col("end.n").alias("n_b"))
-    far = _end(crowded, "a", "name", "n").join(each, "key").where((F.col("name_a") != F.col("name_b")) & alike)
+    each = ends.select("key", F.explode(F.array("low", "high")).alias("end")).select("key", *[F.col(f"end.{c}").alias(f"{c}_b") for c in ("name", "n", *facts)])
+    far = _end(crowded, "a", "name", "n", *facts).join(each, "key").where((F.col("name_a") != F.col("name_b")) & (alike if fit is None else fit))
     return met.select("name_a", "name_b").unionByName(far.select("name_a", "name_b")).distinct()
 
 
@@ -65,6 +71,12 @@ def end_pairs(crowded: DataFrame, alike: Column, salt: int) -> DataFrame:
     return met.select(F.greatest("name_a", "name_b").alias("name_a"), F.least("name_a", "name_b").alias("name_b")).distinct()
 
 
+def mixed(crowded: DataFrame) -> DataFrame:
+    """``(name)`` of the members of crowded buckets that hold several classes."""
+    several = crowded.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key")
+    return crowded.join(several, "key", "left_semi").select("name").distinct()
+
+
 def every_pair(crowded: DataFrame, nodes: DataFrame, facts: Sequence[str], fit: Column, block: int = BLOCK) -> DataFrame:
     """Names of all pairs of different classes in crowded buckets that fulfil ``fit``, which may name the ``key`` too."""
     several = crowded.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("crowd")).where("x <> y")

@@ -38,6 +38,8 @@ WINDOW, TABLES, KEPT, SIMILARITY = 3, 40, 2, 0.8
 ROUNDS, FEW_WANTED = 1, 200_000
 _CELLS = 1 << 20
 _BITS = [f"s{i}" for i in range(8)]
+#: Bits of the wide bitmap by which members of mixed crowded buckets are told apart.
+WIDE = 4096
 
 
 def _odd(count: int) -> np.ndarray:
@@ -80,9 +82,9 @@ def signature(words: np.ndarray, tables: int = TABLES, kept: int = KEPT, window:
     return out
 
 
-def word_bits(words: np.ndarray) -> np.ndarray:
-    """512 bits: how many words fall on each, modulo 2."""
-    odd = np.bincount((words & np.uint64(511)).astype(np.int64), minlength=512) & 1
+def word_bits(words: np.ndarray, bits: int = 512) -> np.ndarray:
+    """So many bits: how many words fall on each, modulo 2."""
+    odd = np.bincount((words & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
@@ -174,6 +176,25 @@ def _may_align(similarity: float) -> F.Column:
     return _alike(similarity) & (unlike <= 2 * most - (longer - shorter))
 
 
+def _wide(words: DataFrame) -> DataFrame:
+    """``(digest, wide)``: a wide parity bitmap of the words of texts, the n-th of a word counting as another word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [word_bits(labelled(np.frombuffer(row.as_py(), "<u4").astype(np.uint64)), WIDE) for row in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["digest", "wide"])
+
+    return words.select("digest", "words").mapInArrow(run, "digest binary, wide array<long>")
+
+
+def _may_align_wide(similarity: float) -> F.Column:
+    """As ``_may_align``, on the wide bitmap too; long texts that share most words differ in too many of its bits."""
+    longer, shorter = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
+    most = F.floor(longer * (1 - similarity) + 1e-9)
+    unlike = F.aggregate(F.zip_with("wide_a", "wide_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
+    return _may_align(similarity) & (unlike <= 2 * most - (longer - shorter))
+
+
 def _checked(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Digests ``(a, b)`` of pairs of names that may align."""
     a, b = (nodes.select(*[F.col(c).alias(f"{c}_{end}") for c in ("name", "digest", "n", *_BITS)]) for end in "ab")
@@ -204,16 +225,20 @@ def joined(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, id
     seats = nodes.select("name", "n", F.posexplode("signature").alias("table", "value"))
     shared = buckets.shared(seats.select("name", "n", F.xxhash64("table", "value").alias("key")))
 
-    def verified(names: DataFrame) -> DataFrame:
+    def verified(names: DataFrame, words: DataFrame | None = None) -> DataFrame:
         pairs = materialize(_checked(names, nodes, similarity), "pairs")
-        return _verified(pairs, _sequences(docs, nodes, pairs, id_col, text_col), similarity)
+        return _verified(pairs, words or _sequences(docs, nodes, pairs, id_col, text_col), similarity)
 
-    classes = _joined(None, verified(buckets.near_pairs(shared, _alike(similarity))))
+    near = buckets.near_pairs(shared, _alike(similarity), nodes=nodes, facts=_BITS, fit=_may_align(similarity))
+    classes = _joined(None, verified(near))
     crowded = buckets.classed(shared, nodes, classes)
     for salt in range(ROUNDS):
         classes = _joined(classes, verified(buckets.end_pairs(crowded, _alike(similarity), salt)))
         crowded = buckets.classed(shared, nodes, classes)
-    return _joined(classes, verified(buckets.every_pair(crowded, nodes, ["n", *_BITS], _may_align(similarity))))
+    left = materialize(nodes.join(buckets.mixed(crowded), "name", "left_semi").select("name", "digest", "n", *_BITS), "mixed")
+    words = _sequences(docs, nodes, left.select(F.col("digest").alias("a"), F.col("digest").alias("b")), id_col, text_col)
+    told = left.join(_wide(words), "digest").drop("digest")
+    return _joined(classes, verified(buckets.every_pair(crowded, told, ["n", *_BITS, "wide"], _may_align_wide(similarity)), words))
 
 
 def _classed(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -4,8 +4,9 @@ import random
 import numpy as np
 import pytest
 from llm_helpers import ODD, SF
+from pyspark.sql import functions as F
 
-from binroute.llm import near_duplicates
+from binroute.llm import buckets, near_duplicates
 from binroute.llm.alignment import most_edits, within
 from binroute.llm.components import components
 
@@ -144,3 +145,37 @@ def test_odd_rows(texts):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "7", "8", "None"]
     nothing = texts((1, "x")).where("doc_id > 1")
     assert near_duplicates.classes(nothing).count() == 0 and near_duplicates.keep_one(nothing).count() == 0
+
+
+def test_crowded_members_meet_only_where_words_allow(spark):
+    """In one crowded bucket, the ends and every pair tell only what the word bitmaps allow, and all of that."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    members = []
+    for i in range(60):
+        words = base.copy()
+        words[rng.choice(300, 6 if i % 20 == 0 else 36, replace=False)] = rng.integers(0, 1 << 63, 6 if i % 20 == 0 else 36).astype(np.uint64)
+        members.append(words)
+    small = [(w >> np.uint64(32)).astype("<u4") for w in members]
+    rows = [(i, bytes([i]), 300, s.tobytes(), [int(x) for x in near_duplicates.word_bits(w)]) for i, (w, s) in enumerate(zip(members, small, strict=True))]
+    made = spark.createDataFrame(rows, "name long, digest binary, n int, words binary, bits array<long>")
+    nodes = made.select("name", "digest", "n", *[F.col("bits")[i].alias(f"s{i}") for i in range(8)])
+    told = nodes.join(near_duplicates._wide(made), "digest").drop("digest")
+    crowded = spark.createDataFrame([(1, i, 300, i) for i in range(60)], "key long, name long, n int, class long")
+    fit, facts = near_duplicates._may_align, near_duplicates._BITS
+    pairs = lambda rows: {(r["name_a"], r["name_b"]) for r in rows.collect()}
+    before = pairs(buckets.every_pair(crowded, nodes, ["n", *facts], fit(0.8)))
+    after = pairs(buckets.every_pair(crowded, told, ["n", *facts, "wide"], near_duplicates._may_align_wide(0.8)))
+    linked = {(a, b) for a in range(60) for b in range(a) if within(small[a], small[b], 60) is not None}
+    assert linked and linked <= after <= before and len(after) < len(before) / 2
+    seats = crowded.select("key", "name", "n", F.lit(60).alias("crowd"))
+    free = pairs(buckets.near_pairs(seats, near_duplicates._alike(0.8)))
+    fitting = pairs(buckets.near_pairs(seats, near_duplicates._alike(0.8), nodes=nodes, facts=facts, fit=fit(0.8)))
+    assert {p for p in free if p in linked} <= fitting <= free
+
+
+def test_the_wide_bitmap_counts_occurrences(spark):
+    rows = [(b"a", np.array([5, 5, 5, 9], "<u4").tobytes()), (b"b", np.array([5, 9], "<u4").tobytes())]
+    made = {bytes(r["digest"]): r["wide"] for r in near_duplicates._wide(spark.createDataFrame(rows, "digest binary, words binary")).collect()}
+    ones = {k: sum(bin(x & (2**64 - 1)).count("1") for x in v) for k, v in made.items()}
+    assert ones == {b"a": 4, b"b": 2} and len(made[b"a"]) == near_duplicates.WIDE // 64
